@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from corpusq.llm.minhash import op1_minhash
+from corpusq.llm.mixing import op4_mixing
+from corpusq.llm.pii import op8_pii
+from corpusq.llm.sharding import op2_sharding
 
 QUERIES = {
     "op1_minhash": op1_minhash,
+    "op2_sharding": op2_sharding,
+    "op4_mixing": op4_mixing,
+    "op8_pii": op8_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}
