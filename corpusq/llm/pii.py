@@ -23,16 +23,24 @@ _DAY_HALVES = (17, 4297)
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Candidates by kind, in order of precedence; fixed patterns.
 KINDS = {
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]++\.)+[A-Za-z]{2,24}(?![A-Za-z0-9\-])",
-    "secret": r"(?i:\b(?:token|password|passwd|secret|api_?key)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_\-]{8,200}",
-    "cloud_key": r"(?<![A-Za-z0-9])A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
-    "date": r"(?<![0-9\-])(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9\-])",
-    "ssn": r"(?<![0-9\-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9\-])",
-    "phone": r"(?<![0-9A-Za-z+])\+[1-9][0-9]{0,2}[ .\-]?\(?[0-9]{2,4}\)?(?:[ .\-]?[0-9]{2,4}){2,3}(?![0-9])",
-    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![0-9A-Za-z])",
-    "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3})(?![0-9A-Za-z])",
+    "email": r"[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]++\.)+[A-Za-z]{2,24}(?![A-Za-z0-9\-])",
+    "secret": r"(?=[A-Za-z])(?i:token|password|passwd|secret|api_?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_\-]{8,200}",
+    "cloud_key": r"A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])",
+    "iban": r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![0-9A-Za-z])",
+    "ip": rf"(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
+    "date": r"(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9\-])",
+    "ssn": r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9\-])",
+    "card": r"(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3})(?![0-9A-Za-z])",
+    "phone": r"\+[1-9][0-9]{0,2}[ .\-]?\(?[0-9]{2,4}\)?(?:[ .\-]?[0-9]{2,4}){2,3}(?![0-9])",
 }
+#: One pattern for all: what a kind may not follow is tested once for each start, and digits first.
+PATTERN = (
+    r"(?<![A-Za-z0-9._%+\-])(?:" + "|".join(KINDS[k] for k in ("email", "secret", "cloud_key", "iban"))
+    + r")|(?=[0-9])(?<![0-9A-Za-z.\-])(?:" + "|".join(KINDS[k] for k in ("ip", "date", "ssn", "card"))
+    + r")|" + KINDS["phone"].replace(r"\+", r"\+(?<![0-9A-Za-z+]\+)", 1)
+)
+#: Put around candidates; a text that holds it takes the slower way.
+MARK = "\ue0f1\x02"
 #: Parts of a secret: what names it, and its value.
 _SECRET = r"(?s)^(.*?[=:]\s{0,3}[\"']?)([A-Za-z0-9+/_\-]{8,200})$"
 
@@ -54,16 +62,23 @@ def feistel(x: Column, a: Column | int, b: Column | int, tweak: str) -> Column:
     return F.aggregate(F.array(*[F.lit(i) for i in range(STEPS)]), start, step, lambda s: s["l"] * b + s["r"])
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value) with value worked out once, also where it stands in inner lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
 
 def _permuted(d: Column, tweak: str) -> Column:
     """A string of up to 18 digits, permuted among the strings of its length."""
+    def power(n: Column) -> Column:
+        return F.element_at(F.array(*[F.lit(10**i) for i in range(10)]), n.cast("int") + 1).cast("long")
+
     n = F.length(d)
     low = F.call_function("div", n, F.lit(2))
-    a, b = F.pow(F.lit(10.0), n - low).cast("long"), F.pow(F.lit(10.0), low).cast("long")
-    return F.lpad(feistel(d.cast("long"), a, b, tweak).cast("string"), n.cast("int"), F.lit("0"))
+    return F.lpad(feistel(d.cast("long"), power(n - low), power(low), tweak).cast("string"), n, F.lit("0"))
 
 
 def _refilled(m: Column, d: Column) -> Column:
@@ -100,26 +115,36 @@ def _mod97(s: Column) -> Column:
 
 
 def _card(m: Column) -> Column:
-    d = _digits(m)
-    body, last = F.substr(d, F.lit(1), F.length(d) - 1), F.substr(d, F.length(d), F.lit(1))
-    new = _permuted(body, "card")
-    return F.when(luhn_digit(body) == last, _refilled(m, F.concat(new, luhn_digit(new)))).otherwise(m)
+    def valid(d: Column) -> Column:
+        return luhn_digit(F.substr(d, F.lit(1), F.length(d) - 1)) == F.substr(d, F.length(d), F.lit(1))
+
+    def swapped(d: Column) -> Column:
+        new = _permuted(F.substr(d, F.lit(1), F.length(d) - 1), "card")
+        return _bound(_bound(new, lambda n: F.concat(n, luhn_digit(n))), lambda n: _refilled(m, n))
+
+    return _bound(_digits(m), lambda d: F.when(valid(d), swapped(d)).otherwise(m))
 
 
 def _iban(m: Column) -> Column:
-    rest = F.substr(m, F.lit(5), F.length(m) - 4)
+    rest, country = F.substr(m, F.lit(5), F.length(m) - 4), F.substr(m, F.lit(1), F.lit(2))
     valid = _mod97(F.concat(rest, F.substr(m, F.lit(1), F.lit(4)))) == 1
-    d = _digits(rest)
-    head = F.substr(d, F.lit(1), F.least(F.length(d), F.lit(18)))
-    new = F.when(F.length(d) > 0, _refilled(rest, F.concat(_permuted(head, "iban"), F.substr(d, F.lit(19), F.length(d))))).otherwise(rest)
-    check = F.lpad((98 - _mod97(F.concat(new, F.substr(m, F.lit(1), F.lit(2)), F.lit("00")))).cast("string"), 2, "0")
-    return F.when(valid, F.concat(F.substr(m, F.lit(1), F.lit(2)), check, new)).otherwise(m)
+
+    def fill(d: Column) -> Column:
+        head = F.substr(d, F.lit(1), F.least(F.length(d), F.lit(18)))
+        new = F.concat(_permuted(head, "iban"), F.substr(d, F.lit(19), F.length(d)))
+        return F.when(F.length(d) > 0, _bound(new, lambda n: _refilled(rest, n))).otherwise(rest)
+
+    def checked(new: Column) -> Column:
+        check = 98 - _mod97(F.concat(new, country, F.lit("00")))
+        return F.concat(country, F.lpad(check.cast("string"), 2, "0"), new)
+
+    return F.when(valid, _bound(_bound(_digits(rest), fill), checked)).otherwise(m)
 
 
 def _ip(m: Column) -> Column:
     n = F.aggregate(F.split(m, r"\."), F.lit(0).cast("long"), lambda t, o: t * 256 + o.cast("long"))
-    y = feistel(n, 65536, 65536, "ip")
-    return F.concat_ws(".", *[F.call_function("shiftright", y, F.lit(s)).bitwiseAND(255).cast("string") for s in (24, 16, 8, 0)])
+    return _bound(_bound(n, lambda x: feistel(x, 65536, 65536, "ip")), lambda y: F.concat_ws(
+        ".", *[F.call_function("shiftright", y, F.lit(s)).bitwiseAND(255).cast("string") for s in (24, 16, 8, 0)]))
 
 
 def _date(m: Column) -> Column:
@@ -129,21 +154,27 @@ def _date(m: Column) -> Column:
 
 def _ssn(m: Column) -> Column:
     """Area 001-899 without 666, group 01-99, serial 0001-9999: 898 * 99 * 9999 numbers."""
-    area, group, serial = (p.cast("long") for p in (F.split(m, "-")[0], F.split(m, "-")[1], F.split(m, "-")[2]))
+    area, group, serial = (F.substr(m, F.lit(i), F.lit(n)).cast("long") for i, n in ((1, 3), (5, 2), (8, 4)))
     rank = ((area - F.when(area > 666, 2).otherwise(1)) * 99 + group - 1) * 9999 + serial - 1
-    y = feistel(rank, 898 * 99, 9999, "ssn")
-    high, s = F.call_function("div", y, F.lit(9999).cast("long")), y % 9999 + 1
-    a, g = F.call_function("div", high, F.lit(99).cast("long")) + 1, high % 99 + 1
-    a = a + F.when(a >= 666, 1).otherwise(0)
-    return F.concat_ws("-", F.lpad(a.cast("string"), 3, "0"), F.lpad(g.cast("string"), 2, "0"), F.lpad(s.cast("string"), 4, "0"))
+
+    def written(y: Column) -> Column:
+        high = F.call_function("div", y, F.lit(9999).cast("long"))
+        a = F.call_function("div", high, F.lit(99).cast("long")) + 1
+        parts = ((a + F.when(a >= 666, 1).otherwise(0), 3), (high % 99 + 1, 2), (y % 9999 + 1, 4))
+        return F.concat_ws("-", *[F.lpad(p.cast("string"), n, "0") for p, n in parts])
+
+    return _bound(_bound(rank, lambda x: feistel(x, 898 * 99, 9999, "ssn")), written)
 
 
 def _phone(m: Column) -> Column:
     """The country code stays; the other digits are permuted if there are 7 to 14."""
     code = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[^0-9])|^\+[0-9]", 0)
     rest = F.substr(m, F.length(code) + 1, F.length(m))
-    d = _digits(rest)
-    return F.when(F.length(d).between(7, 14), F.concat(code, _refilled(rest, _permuted(d, "phone")))).otherwise(m)
+
+    def fill(d: Column) -> Column:
+        return F.when(F.length(d).between(7, 14), _bound(_permuted(d, "phone"), lambda n: F.concat(code, _refilled(rest, n)))).otherwise(m)
+
+    return _bound(_digits(rest), fill)
 
 
 def _hex(m: Column, tweak: str, n: Column | int) -> Column:
@@ -168,7 +199,6 @@ def _cloud_key(m: Column) -> Column:
 PSEUDONYMS = {
     "email": _email, "secret": _secret, "cloud_key": _cloud_key, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "iban": _iban, "card": _card,
 }
-PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 
 
 def kind_of(m: Column) -> Column:
@@ -200,20 +230,20 @@ def pseudonymised(docs: DataFrame, column: str = "text") -> DataFrame:
     an existing column pii is replaced; an empty table gives an empty result.
     """
     text = F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
-    found = F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
-    between = F.split(text, PATTERN, -1)
-    swapped = F.transform("_found", lambda x: F.struct(x["kind"].alias("kind"), x["m"].alias("m"), pseudonym(x["m"], x["kind"]).alias("p")))
-    joined = F.array_join(F.flatten(F.zip_with(
-        F.col("_between"), F.transform("_swapped", lambda x: x["p"]),
-        lambda b, p: F.array(b, F.coalesce(p, F.lit(""))))), "")
+    between, found = F.split(text, PATTERN, -1), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+    slow = F.flatten(F.zip_with(between, found, lambda b, m: F.array(b, F.coalesce(m, F.lit("")))))
+    fast = F.split(F.regexp_replace(text, PATTERN, f"{MARK}$0{MARK}"), MARK, -1)
+    swapped = F.transform("_parts", lambda x, i: F.when(i % 2 == 1, F.struct(x.alias("m"), kind_of(x).alias("kind"))))
+    swapped = F.transform(swapped, lambda x: F.when(x.isNotNull(), F.struct(x["kind"].alias("kind"), x["m"].alias("m"), pseudonym(x["m"], x["kind"]).alias("p"))))
+    joined = F.array_join(F.zip_with("_parts", "_swapped", lambda x, y: F.coalesce(y["p"], x)), "")
     changed = F.transform(F.filter("_swapped", lambda x: x["m"] != x["p"]), lambda x: F.struct(x["kind"].alias("kind"), x["p"].alias("value")))
     keep = [c for c in docs.columns if c.lower() not in ("pii", column.lower())]
     return (
-        docs.withColumn("_found", found).withColumn("_between", between)
-        .withColumn("_swapped", swapped)
+        docs.withColumn("_parts", F.when(F.instr(text, MARK) > 0, slow).otherwise(fast))
+        .withColumn("_swapped", F.when(F.size("_parts") > 1, swapped))
         .select(*[F.col(f"`{c}`") for c in keep],
-                F.when(F.col(f"`{column}`").isNotNull(), F.when(F.size("_swapped") > 0, joined).otherwise(F.col(f"`{column}`"))).alias(column),
-                changed.alias("pii"))
+                F.when(F.col("_swapped").isNotNull(), joined).otherwise(F.col(f"`{column}`")).alias(column),
+                F.coalesce(changed, F.array().cast("array<struct<kind:string,value:string>>")).alias("pii"))
     )
 
 
