@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from corpusq.llm.minhash import op1_minhash
 from corpusq.llm.mixing import op4_mixing
+from corpusq.llm.neighbours import op3_neighbours
 from corpusq.llm.pii import op8_pii
 from corpusq.llm.sharding import op2_sharding
+from corpusq.llm.vector_dedup import op9_vector_dedup
 
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_sharding": op2_sharding,
+    "op3_neighbours": op3_neighbours,
     "op4_mixing": op4_mixing,
     "op8_pii": op8_pii,
+    "op9_vector_dedup": op9_vector_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
