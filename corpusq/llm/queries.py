@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from corpusq.llm.bpe import op7_bpe
+from corpusq.llm.licenses import op10_licenses
 from corpusq.llm.minhash import op1_minhash
 from corpusq.llm.mixing import op4_mixing
 from corpusq.llm.neighbours import op3_neighbours
@@ -14,8 +16,10 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_neighbours": op3_neighbours,
     "op4_mixing": op4_mixing,
+    "op7_bpe": op7_bpe,
     "op8_pii": op8_pii,
     "op9_vector_dedup": op9_vector_dedup,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLE_SQL: dict[str, str] = {}
