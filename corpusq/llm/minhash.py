@@ -25,7 +25,7 @@ SEED = 20240611
 #: Shingles of one block in the exact comparison of a bucket's remaining members.
 BLOCK_SHINGLES = 1_000_000
 #: Documents of one such block.
-BLOCK_DOCS = 384
+BLOCK_DOCS = 1024
 #: Candidate ids are broadcast up to this number (8 bytes each), else joined by exchange.
 BROADCAST_IDS = 1_000_000
 
