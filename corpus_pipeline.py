@@ -1,11 +1,64 @@
-"""A corpus pipeline of five operators; each stage is written and read again."""
+"""A corpus pipeline of five operators; each stage is written and read again.
+
+Toxic documents go, one document of each group of near-duplicates stays, personal
+data gets pseudonyms, sources are mixed to their target weights, and the texts are
+encoded and decoded.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corpusq.llm import bpe, minhash, mixing, pii, toxicity
+from corpusq.llm.tables import read_table, written
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones among them, doesn't reject."""
+    labels = read_table(spark, sf_dir, "labels")
+    machine = toxicity.fit(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
+    return toxicity.marked(docs, machine).where("_predicted = 0").drop("_predicted")
+
+
+def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group; of repeated rows of one doc_id, one."""
+    found = minhash.near_duplicates(docs, k=5, percent=80)
+    gone = found.where("NOT kept").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti")
+    return kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])).select(*docs.columns)
+
+
+def pseudonymise(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data replaced; n_chars follows."""
+    out = pii.pseudonymised(docs).drop("pii")
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mix(docs)
+
+
+def encode_decode(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokens and digests of every text."""
+    return bpe.digests(docs, bpe.tokenizer_path())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("minhash", drop_near_duplicates),
+    ("pii", pseudonymise),
+    ("mixing", mix_sources),
+    ("bpe", encode_decode),
+]
+
+
+def run(spark, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    raise NotImplementedError
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
