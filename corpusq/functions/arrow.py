@@ -1,11 +1,10 @@
 """Strings that no regular expression can treat, as Arrow-batched pandas functions."""
 
-from __future__ import annotations
-
 import difflib
 import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -73,21 +72,34 @@ def alpha_equivalent(a: str, b: str) -> bool:
     return True
 
 
-@F.pandas_udf("string")
-def kill_comments(s: pd.Series) -> pd.Series:
+def _kill(s: pd.Series) -> pd.Series:
     return s.map(without_comments, na_action="ignore")
 
 
-@F.pandas_udf("string")
-def top_level_conclusion(s: pd.Series) -> pd.Series:
+def _conclude(s: pd.Series) -> pd.Series:
     return s.map(conclusion, na_action="ignore")
 
 
-@F.pandas_udf("string")
-def sigma_renamed(text: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+def _rename(text: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if t is None or x is None or y is None else renamed(t, renaming(x, y)) for t, x, y in zip(text, a, b, strict=True)])
 
 
-@F.pandas_udf("boolean")
-def alpha_equal(a: pd.Series, b: pd.Series) -> pd.Series:
+def _equal(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else alpha_equivalent(x, y) for x, y in zip(a, b, strict=True)])
+
+
+def kill_comments(text: Column) -> Column:
+    return F.pandas_udf(_kill, "string")(text)
+
+
+def top_level_conclusion(text: Column) -> Column:
+    return F.pandas_udf(_conclude, "string")(text)
+
+
+def sigma_renamed(text: Column, a: Column, b: Column) -> Column:
+    """text with the names of a that stand for others of b renamed."""
+    return F.pandas_udf(_rename, "string")(text, a, b)
+
+
+def alpha_equal(a: Column, b: Column) -> Column:
+    return F.pandas_udf(_equal, "boolean")(a, b)

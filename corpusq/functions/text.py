@@ -77,7 +77,7 @@ def stop_cut(text: Column, stops: list[str]) -> Column:
 
 def split_steps(text: Column) -> Column:
     """Sentences that end with a full stop before white space or the end; blanks are dropped."""
-    return F.filter(F.transform(F.split(text, r"(?<=\.)(?=\s|$)"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, r"(?<=\.)(?=\s|$)"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def ansi_strip(text: Column) -> Column:
@@ -156,7 +156,7 @@ def pair_budget(a: Column, b: Column, n: int) -> Column:
 def blocks(text: Column, tag: str) -> Column:
     """Bodies of <tag> blocks, each once; null if there are none."""
     found = F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)<{tag}>(.*?)</{tag}>"), F.lit(1)))
-    return F.when(F.size(found) > 0, F.transform(found, F.trim))
+    return F.when(F.size(found) > 0, F.transform(found, lambda x: F.trim(x)))
 
 
 def parsed_list(text: Column) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusq.plans import evaluation
+from corpusq.plans import corpus, evaluation, extras, retrieval, trajectories
 
-MODULES = (evaluation,)
+MODULES = (evaluation, trajectories, retrieval, corpus, extras)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
