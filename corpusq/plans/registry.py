@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusq.plans import corpus, evaluation, extras, retrieval, trajectories
+from corpusq.plans import corpus, evaluation, extras, retrieval, storage, trajectories
 
-MODULES = (evaluation, trajectories, retrieval, corpus, extras)
+MODULES = (evaluation, trajectories, retrieval, corpus, extras, storage)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
