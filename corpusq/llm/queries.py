@@ -7,12 +7,15 @@ from corpusq.llm.licenses import op10_licenses
 from corpusq.llm.minhash import op1_minhash
 from corpusq.llm.mixing import op4_mixing
 from corpusq.llm.neighbours import op3_neighbours
+from corpusq.llm.oracle import ORACLE_SQL
 from corpusq.llm.pii import op8_pii
 from corpusq.llm.quality import op6_quality
 from corpusq.llm.sharding import op2_sharding
 from corpusq.llm.toxicity import op5_toxicity
 from corpusq.llm.vector_dedup import op9_vector_dedup
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_sharding": op2_sharding,
@@ -25,5 +28,3 @@ QUERIES = {
     "op9_vector_dedup": op9_vector_dedup,
     "op10_licenses": op10_licenses,
 }
-
-ORACLE_SQL: dict[str, str] = {}
