@@ -157,23 +157,33 @@ def trained(positive: list[str], negative: list[str], landmarks: int = LANDMARKS
     index, weight, norm = features(marks)
     ok = norm > 0
     marks, index, weight, norm = [m for m, k in zip(marks, ok, strict=True) if k], index[ok], weight[ok], norm[ok]
-    every = positive + negative
-    product = np.zeros((len(every), len(marks)))
-    tables = np.zeros((len(marks), CODES**3), dtype=np.float32)
-    for m in range(len(marks)):
-        np.add.at(tables[m], index[m], weight[m] / norm[m])
-    for at in range(0, len(every), 256):
-        i, v, n = features(every[at : at + 256])
-        for m in range(len(marks)):
-            product[at : at + 256, m] = (tables[m][i] * v).sum(axis=1) / np.where(n > 0, n, 1)
-    among = np.stack([applied(tables[m], marks) for m in range(len(marks))])
+    # only triples of landmarks matter: a row of weights for each landmark over those, 0 in the last column
+    known, place = np.unique(index[weight > 0], return_inverse=True)
+    compact = np.full(CODES**3, len(known), dtype=np.int32)
+    compact[known] = np.arange(len(known), dtype=np.int32)
+    rows = np.zeros((len(marks), len(known) + 1), dtype=np.float32)
+    owner = np.repeat(np.arange(len(marks)), (weight > 0).sum(axis=1))
+    np.add.at(rows, (owner, place), (weight / norm[:, None])[weight > 0])
+
+    def products(strings: list[str]) -> np.ndarray:
+        out = np.zeros((len(strings), len(marks)))
+        for at in range(0, len(strings), 128):
+            i, v, n = features(strings[at : at + 128])
+            i, v = compact[i], (v / np.where(n > 0, n, 1)[:, None]).astype(np.float32)
+            for m in range(len(marks)):
+                out[at : at + 128, m] = (rows[m][i] * v).sum(axis=1)
+        return out
+
+    among = products(marks)
     values, vectors = np.linalg.eigh((among + among.T) / 2 + 1e-6 * np.eye(len(marks)))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
-    x = np.hstack([product @ root, np.ones((len(every), 1))])
+    x = np.hstack([products(positive + negative) @ root, np.ones((len(positive) + len(negative), 1))])
     y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
     cost = np.where(y > 0, len(negative) / max(len(positive), 1), 1.0)
     w = _svm(x, y, np.clip(cost, 0.1, 50))
-    return Machine((root @ w[:-1]) @ tables, float(w[-1]))
+    table = np.zeros(CODES**3, dtype=np.float32)
+    table[known] = (root @ w[:-1]) @ rows[:, :-1]
+    return Machine(table, float(w[-1]))
 
 
 def explaining(rows: list[tuple[str, list[int], int]], n_toxic: int, n_clean: int) -> list[str]:
