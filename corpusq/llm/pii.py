@@ -24,7 +24,7 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Candidates by kind, in order of precedence; fixed patterns.
 KINDS = {
     "email": r"[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]++\.)+[A-Za-z]{2,24}(?![A-Za-z0-9\-])",
-    "secret": r"(?=[A-Za-z])(?i:token|password|passwd|secret|api_?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_\-]{8,200}",
+    "secret": r"(?=[A-Za-z])(?i:token|password|passwd|secret|api_?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_\-]{8,}+",
     "cloud_key": r"A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "iban": r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![0-9A-Za-z])",
     "ip": rf"(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
@@ -42,7 +42,7 @@ PATTERN = (
 #: Put around candidates; a text that holds it takes the slower way.
 MARK = "\ue0f1\x02"
 #: Parts of a secret: what names it, and its value.
-_SECRET = r"(?s)^(.*?[=:]\s{0,3}[\"']?)([A-Za-z0-9+/_\-]{8,200})$"
+_SECRET = r"(?s)^(.*?[=:]\s{0,3}[\"']?)([A-Za-z0-9+/_\-]{8,})$"
 
 
 def _digest(*parts: Column | str) -> Column:
@@ -51,15 +51,20 @@ def _digest(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.sha2(F.concat(F.lit(f"{KEY}|"), text, F.lit(f"|{KEY}")), 256), 1, 15), 16, 10).cast("long")
 
 
-def feistel(x: Column, a: Column | int, b: Column | int, tweak: str) -> Column:
-    """A keyed permutation of the numbers 0 to a * b - 1."""
-    a, b = (F.lit(v).cast("long") if isinstance(v, int) else v for v in (a, b))
+def _rounds(left: Column, right: Column, a: Column, b: Column, tweak: str, use) -> Column:
+    """use(halves) with the halves l (below a) and r (below b) permuted together."""
     def step(s: Column, i: Column) -> Column:
         left = (s["l"] + _digest(tweak, i.cast("string"), F.lit("l"), s["r"].cast("string")) % a) % a
         return F.struct(left.alias("l"), ((s["r"] + _digest(tweak, i.cast("string"), F.lit("r"), left.cast("string")) % b) % b).alias("r"))
 
-    start = F.struct(F.call_function("div", x, b).alias("l"), (x % b).alias("r"))
-    return F.aggregate(F.array(*[F.lit(i) for i in range(STEPS)]), start, step, lambda s: s["l"] * b + s["r"])
+    start = F.struct(left.alias("l"), right.alias("r"))
+    return F.aggregate(F.array(*[F.lit(i) for i in range(STEPS)]), start, step, use)
+
+
+def feistel(x: Column, a: Column | int, b: Column | int, tweak: str) -> Column:
+    """A keyed permutation of the numbers 0 to a * b - 1."""
+    a, b = (F.lit(v).cast("long") if isinstance(v, int) else v for v in (a, b))
+    return _rounds(F.call_function("div", x, b), x % b, a, b, tweak, lambda s: s["l"] * b + s["r"])
 
 
 def _bound(value: Column, use) -> Column:
@@ -72,13 +77,17 @@ def _digits(m: Column) -> Column:
 
 
 def _permuted(d: Column, tweak: str) -> Column:
-    """A string of up to 18 digits, permuted among the strings of its length."""
+    """A string of up to 36 digits, permuted among the strings of its length; each half fits a long."""
     def power(n: Column) -> Column:
-        return F.element_at(F.array(*[F.lit(10**i) for i in range(10)]), n.cast("int") + 1).cast("long")
+        return F.element_at(F.array(*[F.lit(10**i).cast("long") for i in range(19)]), n.cast("int") + 1)
+
+    def part(start: Column, size: Column) -> Column:
+        return F.concat(F.lit("0"), F.substr(d, start, size)).cast("long")
 
-    n = F.length(d)
-    low = F.call_function("div", n, F.lit(2))
-    return F.lpad(feistel(d.cast("long"), power(n - low), power(low), tweak).cast("string"), n, F.lit("0"))
+    low = F.call_function("div", F.length(d), F.lit(2)).cast("int")
+    high = F.length(d) - low
+    return _rounds(part(F.lit(1), high), part(high + 1, low), power(high), power(low), tweak, lambda s: F.concat(
+        F.lpad(s["l"].cast("string"), high, F.lit("0")), F.lpad(s["r"].cast("string"), low, F.lit("0"))))
 
 
 def _refilled(m: Column, d: Column) -> Column:
@@ -130,9 +139,7 @@ def _iban(m: Column) -> Column:
     valid = _mod97(F.concat(rest, F.substr(m, F.lit(1), F.lit(4)))) == 1
 
     def fill(d: Column) -> Column:
-        head = F.substr(d, F.lit(1), F.least(F.length(d), F.lit(18)))
-        new = F.concat(_permuted(head, "iban"), F.substr(d, F.lit(19), F.length(d)))
-        return F.when(F.length(d) > 0, _bound(new, lambda n: _refilled(rest, n))).otherwise(rest)
+        return F.when(F.length(d) > 0, _bound(_permuted(d, "iban"), lambda n: _refilled(rest, n))).otherwise(rest)
 
     def checked(new: Column) -> Column:
         check = 98 - _mod97(F.concat(new, country, F.lit("00")))
@@ -178,9 +185,17 @@ def _phone(m: Column) -> Column:
 
 
 def _hex(m: Column, tweak: str, n: Column | int) -> Column:
-    """Up to 256 hexadecimal digits of keyed digests."""
-    rounds = [F.sha2(F.concat(F.lit(f"{KEY}|{tweak}|{i}|"), m, F.lit(f"|{KEY}")), 256) for i in range(4)]
-    return F.substr(F.concat(*rounds), F.lit(1), F.lit(n) if isinstance(n, int) else n)
+    """n hexadecimal digits of keyed digests: 64 of m's, then those of m's digest and a round number."""
+    n = F.lit(n) if isinstance(n, int) else n
+
+    def digest(i: Column, x: Column) -> Column:
+        return F.sha2(F.concat(F.lit(f"{KEY}|{tweak}|"), i.cast("string"), F.lit("|"), x, F.lit(f"|{KEY}")), 256)
+
+    def extended(h: Column) -> Column:
+        more = F.transform(F.sequence(F.lit(1), F.call_function("div", n - 1, F.lit(64)).cast("int")), lambda i: digest(i, h))
+        return F.when(n <= 64, F.substr(h, F.lit(1), n)).otherwise(F.substr(F.concat(h, F.array_join(more, "")), F.lit(1), n))
+
+    return _bound(digest(F.lit(0), m), extended)
 
 
 def _email(m: Column) -> Column:

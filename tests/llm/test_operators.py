@@ -251,6 +251,22 @@ def test_pii(spark):
     assert pii.pseudonymised(docs(spark, [])).count() == 0
 
 
+def test_pii_replaces_long_values_whole(spark):
+    ibans = ["PL61109010140000071219812874", "PL34109010140000071219812875", "HU42117730161111101800000000"]
+    secret = "".join(random.Random(3).choices("ghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ", k=70_000))
+    secrets = [secret[:n] for n in (8, 64, 65, 200, 201, 520, 70_000)]
+    rows = [(i, f"x {p} y", "s") for i, p in enumerate(ibans)] + [(10 + i, f"x token={p} y", "s") for i, p in enumerate(secrets)]
+    got = {r.doc_id: r for r in pii.pseudonymised(docs(spark, rows)).collect()}
+    for i, p in enumerate(ibans):
+        new = got[i].text[2:-2]
+        assert len(new) == len(p) and new[:2] == p[:2] and new[-6:] != p[-6:] and sum(x != y for x, y in zip(new[4:], p[4:], strict=True)) > 12
+        assert int("".join(str(int(c, 36)) for c in new[4:] + new[:4])) % 97 == 1
+    assert sum(x != y for x, y in zip(got[0].text[6:], got[1].text[6:], strict=True)) > 8  # one digit changes the whole number
+    for i, p in enumerate(secrets):
+        assert re.fullmatch(f"x token=[0-9a-f]{{{len(p)}}} y", got[10 + i].text) and len(got[10 + i].pii) == 1
+    assert len(set(re.findall("." * 64, got[16].text[8:-2]))) == 70_000 // 64
+
+
 def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
 
