@@ -3,12 +3,15 @@
 The kernel of two strings sums, over all triples of characters that stand in both
 in order, powers of a decay for the lengths that the triples span, so strings with
 gaps and inserted characters stay close; it is normalised to 1 for equal strings.
-A sentence is scored by its worst window (a word, part of a long word, or letters
-that stand apart), a document by its worst sentence.
+A document is scored by its worst windows: words, parts of long words, letters that
+stand apart, and runs of consecutive words, joined whatever separates them, of up to
+RUN letters.  Runs count from a margin of RUN_FROM on; a bound on the kernel, from
+short triples and the greatest weight between two characters, leaves out only runs
+that can't reach it.
 
 Labels are of documents, so training is by multiple instances: words and word
-beginnings that explain most toxic documents give the first positive windows, words
-of clean documents the negative ones; windows of clean documents that score highest
+beginnings, parts of long words and runs that explain most toxic documents give the
+first positive windows, words of clean documents the negative ones; windows of clean documents that score highest
 join the negatives, and the machine is trained again.  A linear machine on landmark
 features is one weight for each triple, which is all that the workers get.  A
 logistic scale over a document's three worst windows makes the score.
@@ -34,12 +37,17 @@ FIT_ROWS = 10_000
 CANDIDATES, NEGATIVES, LANDMARKS = 4000, 6000, 160
 DECAY, CODES, SPAN = 0.5, 64, 16
 ROUNDS = 2
+#: Letters of a run of words at most, with marks at its ends a window; and the margin from which it counts.
+RUN, RUN_FROM = SPAN - 2, -0.5
+#: Triples that span up to EXACT characters are summed in a run's bound, up to NEAR bounded by their ends.
+EXACT, NEAR = 4, 8
 #: Worst windows of a document that make its score.
 TOP = 3
 SEED = 17
 
 _SPACED = re.compile(r"(?<!\w)\w(?:[\W_]{1,3}\w){2,}(?!\w)")
 _WORD = re.compile(r"\w+")
+_PIECE = re.compile(r"[^\W_]+")
 _I, _J, _K = (np.array(x) for x in zip(*[(i, j, k) for i in range(SPAN) for j in range(i + 1, SPAN) for k in range(j + 1, SPAN)], strict=True))
 _WEIGHT = DECAY ** (_K - _I + 1.0)
 
@@ -71,6 +79,28 @@ def coded(strings: list[str]) -> np.ndarray:
     return out
 
 
+def letter_codes(letters: str) -> np.ndarray:
+    """The codes of `coded` for every letter of one string."""
+    o = np.frombuffer(letters.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    return np.where((o >= 97) & (o <= 122), o - 96, 27 + (o * 2654435761 >> 8) % (CODES - 27))
+
+
+def runs_of(text: str) -> tuple[str, np.ndarray, np.ndarray]:
+    """All letters and digits of a text in lower case, and starts and ends in them of every run of two or more pieces."""
+    pieces = _PIECE.findall(text.lower())
+    ends = np.cumsum(np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)))
+    starts = np.concatenate([[0], ends[:-1]])[: len(ends)]
+    first, last = [ends[:0]], [ends[:0]]
+    for more in range(1, RUN):
+        a, b = starts[:-more], ends[more:]
+        short = b - a <= RUN
+        if not short.any():
+            break
+        first.append(a[short])
+        last.append(b[short])
+    return "".join(pieces), np.concatenate(first), np.concatenate(last)
+
+
 def norms(codes: np.ndarray) -> np.ndarray:
     """Square root of each string's kernel with itself."""
     same = ((codes[:, :, None] == codes[:, None, :]) & (codes[:, :, None] > 0)).astype(np.float64) * DECAY**2
@@ -112,6 +142,48 @@ class Machine:
     def __init__(self, table: np.ndarray, bias: float, scale: tuple[float, ...] = (1.0, 0.0, 0.0, 0.0)):
         self.table, self.bias, self.scale = table.astype(np.float32), bias, scale
         self.seen: dict[str, float] = {}
+        cube = self.table.reshape(CODES, CODES, CODES)
+        self.ends = np.maximum(cube.max(axis=1), 0).ravel()
+        self.open, self.close = (int(c) for c in letter_codes("^$"))
+        length = np.arange(RUN + 1)
+        far = [(d - 1) * DECAY ** (d + 1) * np.maximum(length + 2 - d, 0) for d in range(NEAR + 1, SPAN)]
+        across = np.where(length < NEAR, length * DECAY ** (length + 2.0), 0) * self.ends[self.open * CODES + self.close]
+        self.far = sum(far) * self.ends.max() + across
+        # equal characters only add to a norm
+        self.least = norms(np.where(np.arange(SPAN) < length[:, None] + 2, np.arange(SPAN) + 1, 0))
+
+    def _between(self, i, middle: list, k) -> np.ndarray:
+        """Weights of triples with ends i and k, summed over the middles; bounded if they are too far apart."""
+        if len(middle) < EXACT:
+            ends = i * (CODES * CODES) + k
+            return sum(self.table[ends + j * CODES] for j in middle) * DECAY ** (len(middle) + 2)
+        return self.ends[i * CODES + k] * (len(middle) * DECAY ** (len(middle) + 2))
+
+    def bounds(self, codes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Upper bounds of the kernel sums of runs, marks included."""
+        size, n = last - first, len(codes)
+        out = self.far[size].copy()
+        padded = np.concatenate([np.zeros(NEAR, dtype=np.int64), codes, np.zeros(NEAR, dtype=np.int64)])
+        begins, begin_of = np.unique(first, return_inverse=True)
+        stops, stop_of = np.unique(last, return_inverse=True)
+        for d in range(2, NEAR + 1):
+            if n > d:
+                total = np.zeros(n + 1)
+                total[d + 1 :] = np.cumsum(self._between(codes[: n - d], [codes[j : n - d + j] for j in range(1, d)], codes[d:]), dtype=np.float64)
+                out += total[last] - total[np.minimum(first + d, last)]
+            at, to = begins + NEAR - 1, stops + NEAR
+            opened = self._between(self.open, [padded[at + j] for j in range(1, d)], padded[at + d])
+            closed = self._between(padded[to - d], [padded[to - d + j] for j in range(1, d)], self.close)
+            out += np.where(size >= d, opened[begin_of] + closed[stop_of], 0)
+        return out + 1e-4
+
+    def runs(self, text: str) -> set[str]:
+        """Distinct runs of a text whose margin may reach RUN_FROM."""
+        letters, first, last = runs_of(text)
+        if not len(first):
+            return set()
+        able = self.bounds(letter_codes(letters), first, last) >= (RUN_FROM - self.bias) * self.least[last - first]
+        return {letters[a:b] for a, b in zip(first[able].tolist(), last[able].tolist(), strict=True)}
 
     def margins(self, words: list[str]) -> list[float]:
         parts = [windows(w) for w in words]
@@ -123,13 +195,16 @@ class Machine:
         return out
 
     def worst(self, text: str | None) -> tuple[list[float], str]:
-        """The three highest margins of a text's words, and the worst word; missing ones have the bias alone."""
-        words = list(words_of(text or ""))
+        """The three highest margins of a text's words and runs, and the worst of them; missing ones have the bias alone."""
+        own = words_of(text or "")
+        joined = self.runs(text or "") - own
+        words = [*own, *joined]
         if len(self.seen) > 400_000:
             self.seen.clear()
         new = [w for w in words if w not in self.seen]
         if new:
             self.seen.update(zip(new, self.margins(new), strict=True))
+        words = [*own, *(w for w in joined if self.seen[w] >= RUN_FROM)]
         top = heapq.nlargest(TOP, zip(map(self.seen.__getitem__, words), words, strict=True))
         return [m for m, _ in top] + [self.bias] * (TOP - len(top)), top[0][1] if top else ""
 
@@ -226,15 +301,24 @@ def worst_windows(docs: DataFrame, machine: Machine) -> DataFrame:
 
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's distinct marked words and word beginnings of 4 to 7 characters."""
+    """Each document's distinct marked words, parts of longer ones, and word beginnings of 4 to 7 characters."""
     for batch in batches:
         for i, y, t in zip(batch.column("doc_id").to_pylist(), batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            words = [w for w in words_of(t or "") if 2 < len(w) <= SPAN - 2]
-            out = [*(f"^{w}$" for w in words), *{f"^{w[:n]}" for w in words for n in range(4, min(len(w), 8))}]
+            words = [w for w in words_of(t or "") if len(w) > 2]
+            out = [*{p for w in words for p in windows(w)}, *{f"^{w[:n]}" for w in words for n in range(4, min(len(w), 8))}]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([i] * len(out), pa.int64()), pa.array([y] * len(out), pa.int32()), pa.array(out, pa.string())], names=["doc_id", "toxic", "word"])
 
 
+def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's distinct marked runs that aren't among its words."""
+    for batch in batches:
+        for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            letters, first, last = runs_of(t or "")
+            out = [f"^{w}$" for w in {letters[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)} - words_of(t or "") if len(w) > 2]
+            yield pa.RecordBatch.from_arrays([pa.array([i] * len(out), pa.int64()), pa.array(out, pa.string())], names=["doc_id", "word"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Machine:
     """A machine from labelled documents (doc_id, toxic), at most `most` of them.
 
@@ -256,7 +340,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Machine:
                              F.collect_list(F.when(F.col("toxic") == 1, F.col("doc_id"))).alias("docs")), "words")
     odd = F.col("bad") / sizes[1] >= 10 * F.col("good") / sizes[0]
     some = words.where(odd & (F.col("bad") > 1)).orderBy(F.desc("bad"), "good", "word").limit(CANDIDATES).collect()
-    chosen = explaining([(r["word"], r["docs"], r["good"]) for r in some], sizes[1], sizes[0])
+    # runs of clean documents are counted only where three toxic ones have them
+    runs = [rows.where(F.col("toxic") == y).select("doc_id", "text").mapInArrow(_run_rows, "doc_id long, word string") for y in (0, 1)]
+    often = written(runs[1].groupBy("word").agg(F.count("*").alias("bad"), F.collect_list("doc_id").alias("docs")).where("bad > 2"), "runs")
+    good = runs[0].join(F.broadcast(often.select("word")), "word").groupBy("word").agg(F.count("*").alias("good"))
+    joined = often.join(good, "word", "left").na.fill(0, ["good"]).where(odd).orderBy(F.desc("bad"), "good", "word").limit(CANDIDATES).collect()
+    chosen = explaining([(r["word"], r["docs"], r["good"]) for r in [*some, *joined]], sizes[1], sizes[0])
     starts = tuple(c for c in chosen if c[-1] != "$")
     family = [r["word"] for r in some if r["word"][-1] == "$" and starts and r["word"].startswith(starts)]
     positive = list(dict.fromkeys([*chosen, *family]))

@@ -333,6 +333,37 @@ def test_toxicity(spark):
     assert toxicity.score(docs(spark, []), machine).count() == 0
 
 
+def test_toxicity_joins_words_across_separators(spark):
+    rows, labels = toxic_corpus()
+    phrased = [(2000 + i, f"{t[:-1]} grab zonk {t}", "s") for i, t, _ in rows if i % 4 == 1]
+    longer = [(3000 + i, f"{t} pumpernickelfresserbande", "s") for i, t, _ in rows if i % 4 == 2]
+    apart = [(4000 + i, f"{t} grab {t} zonk", "s") for i, t, _ in rows if i % 4 in (1, 3)]  # either word alone is harmless
+    known = labels + [(i, 1) for i, *_ in phrased + longer] + [(i, 0) for i, *_ in apart]
+    machine = toxicity.fit(docs(spark, rows + phrased + longer + apart), spark.createDataFrame(known, "doc_id long, toxic int"))
+    bad = ["id-iot", "idi.ot", "scum*bag", "sc um bag", "i d iot", "idi...\n...ot", "i ..... d ..... i ..... o ..... t", "grab, zonk", "pumpernickelfresserbande"]
+    clean = ["the ration", "ra-tion", "be.th en", "zonk the grab"]
+    more = [(i, f"the {t} ration", "s") for i, t in enumerate(bad + clean)]
+    got = {r.doc_id: r for r in toxicity.score(docs(spark, more), machine).collect()}
+    assert [t for i, t in enumerate(bad) if not got[i].predicted] == []
+    assert [t for i, t in enumerate(clean, len(bad)) if got[i].predicted] == []
+
+
+def test_toxicity_bounds_leave_out_no_run():
+    rng = random.Random(4)
+    pieces = ["ra", "le", "mo", "ron", "i", "d", "iot", "scum", "bag", "tion", "ü", "stu", "pid", "the"]
+    machine = toxicity.trained(["^moron$", "^idiot$", "^scumbag$", "^stupid$"], ["^ration$", "^there$", "^lethe$", "^bagstu$"])
+    reached = 0
+    for _ in range(60):
+        text = "".join(rng.choice(pieces) + rng.choice([" ", "-", ". ", "_", " ... "]) for _ in range(rng.randint(0, 40)))
+        words = [w for w in re.split(r"[\W_]+", text) if w]
+        runs = {"".join(words[a:b]) for a in range(len(words)) for b in range(a + 2, len(words) + 1)}
+        runs = sorted(r for r in runs if len(r) <= toxicity.RUN)
+        want = {r for r, m in zip(runs, machine.margins(runs), strict=True) if m >= toxicity.RUN_FROM} if runs else set()
+        assert want <= machine.runs(text) <= set(runs)
+        reached += len(want)
+    assert reached > 20
+
+
 def test_string_kernel_equals_enumeration():
     def plain(a, b):
         def sums(s):
