@@ -62,6 +62,18 @@ def pieces(notice: str) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def matches(pattern, words: str, low: int, high: int) -> list:
+    """Disjoint matches between two places: the best one, then those to its left and right."""
+    found, open_parts = [], [(low, high)]
+    while open_parts:
+        a, b = open_parts.pop()
+        m = pattern.search(words, a, b) if a < b else None
+        if m:
+            found.append(m)
+            open_parts += [(a, m.start()), (m.end(), b)]
+    return found
+
+
 class Scanner:
     """Finds base phrases and notices in one text."""
 
@@ -106,7 +118,7 @@ class Scanner:
         for i, spans in windows.items():
             n, label, k, pattern = self.notices[i]
             for low, high in spans:
-                for m in pattern.finditer(words, low, high):
+                for m in matches(pattern, words, low, high):
                     errors = sum(m.fuzzy_counts)
                     first = words.count(" ", 0, m.start() + (words[m.start() : m.start() + 1] == " "))
                     found.append((label, first, words.count(" ", 0, m.end()), errors, 1 - errors / len(n)))

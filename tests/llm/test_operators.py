@@ -300,6 +300,16 @@ def test_license_windows_equal_a_plain_search():
             assert (label in {f[0] for f in use.fuzzy(text.encode())}) or pattern.search(" ".join(text.split())) is None or use.fuzzy(text.encode())
 
 
+def test_license_places_left_of_a_better_one():
+    use = licenses.scanner()
+    for text, places in [
+        ("mozila publik license and mozilla public license", [(0, 2, 2), (4, 6, 0)]),
+        ("mozilla public license and mozila publik license", [(0, 2, 0), (4, 6, 2)]),
+        ("mozila publik license mozilla public license mozila public license", [(0, 2, 2), (3, 5, 0), (6, 8, 1)]),
+    ]:
+        assert [f[1:4] for f in use.fuzzy(text.encode()) if f[0] == "mpl"] == places, text
+
+
 def toxic_corpus(n=420):
     rng = random.Random(9)
     insults = ["moron", "idiot", "scumbag", "loweichen", "loweient", "loweischaft"]
