@@ -313,10 +313,14 @@ def preview_limit(s, d):
     return _docs(s, d).orderBy("doc_id").limit(50).select("doc_id", "source")
 
 
-def _tree(s, d):
+def _nodes(s, d):
     n = table(s, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") > 9000).alias("solved"))
     depth = F.floor(F.log2(F.col("id").cast("double"))).cast("int")
-    return n.where("id >= 1 AND id < 1024").select("id", F.when(F.col("id") > 1, F.floor(F.col("id") / 2).cast("long")).alias("parent"), depth.alias("depth"), "solved")
+    return n.where("id >= 1").select("id", F.when(F.col("id") > 1, F.floor(F.col("id") / 2).cast("long")).alias("parent"), depth.alias("depth"), "solved")
+
+
+def _tree(s, d):
+    return _nodes(s, d).where("id < 1024")
 
 
 def g_tree_label(s, d):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusq.operators import corpus as cp
 from corpusq.operators import evaluation as ev
 from corpusq.operators import retrieval as rt
-from corpusq.plans.corpus import _tree
+from corpusq.plans.corpus import _nodes
 from corpusq.sources import readers, writers
 from corpusq.sources.scratch import scratch
 from corpusq.sources.tables import table
@@ -135,7 +135,7 @@ def sq_file_queue(s, d):
 
 
 def sort_frontier(s, d):
-    open_nodes = _tree(s, d).where("NOT solved").select((F.col("id") % 5).alias("query"), (-F.col("depth")).cast("double").alias("score"), F.col("id").alias("ordinal"))
+    open_nodes = _nodes(s, d).where("NOT solved").select((F.col("id") % 5).alias("query"), (-F.col("depth")).cast("double").alias("score"), F.col("id").alias("ordinal"))
     return rt.top_k(open_nodes, 10).select("query", "ordinal", "rank")
 
 

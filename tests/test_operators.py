@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusq.functions import arrow
 from corpusq.functions import text as tx
 from corpusq.operators import corpus, evaluation, graph, retrieval, stats, trajectory, visibility
+from corpusq.plans import storage
 from corpusq.sources import readers, writers
 from corpusq.streaming import queue
 
@@ -156,3 +157,10 @@ def test_streaming_counts(spark, tmp_path):
     run.awaitTermination(120)
     got = spark.table("counts")
     assert got.agg(F.sum("n")).first()[0] == 12 and got.count() == 6
+
+
+def test_frontier_takes_all_nodes(spark, tmp_path):
+    rows = [(i, 9999.0 if i < 1024 else 1.0) for i in range(1, 1400)]
+    spark.createDataFrame(rows, "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    got = [(r.query, r.rank, r.ordinal) for r in storage.sort_frontier(spark, str(tmp_path)).collect()]
+    assert sorted(got) == [(q, n, 1024 + (q - 1024) % 5 + 5 * (n - 1)) for q in range(5) for n in range(1, 11)]
