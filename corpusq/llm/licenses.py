@@ -3,11 +3,13 @@
 A notice may be found with up to one error in ten characters.  By the pigeonhole
 principle, a place with at most k errors holds one of the k + 1 pieces of the
 notice without any; exact seeds (an Aho-Corasick automaton over all pieces) give
-windows, and the regex library's fuzzy matching verifies them and counts errors.
+windows of bounded length, and the regex library's fuzzy matching verifies them
+and counts errors.  The work grows in proportion to a text's length and seeds.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -28,19 +30,63 @@ BASE = {
 # Short notices as lower-case words, and their labels.
 NOTICES = {
     "released under the mit license": "mit",
+    "licensed under the mit license": "mit",
     "permission is hereby granted free of charge": "mit",
+    "the above copyright notice and this permission notice shall be included": "mit",
     "licensed under the apache license version 2 0": "apache-2.0",
+    "apache software license version 1 1": "apache-1.1",
     "redistribution and use in source and binary forms": "bsd",
+    "redistributions of source code must retain the above copyright notice": "bsd",
+    "redistributions in binary form must reproduce the above copyright notice": "bsd",
+    "neither the name of the copyright holder nor the names of its contributors": "bsd-3-clause",
+    "bsd 2 clause license": "bsd-2-clause",
+    "bsd 3 clause license": "bsd-3-clause",
+    "all advertising materials mentioning features or use of this software": "bsd-4-clause",
+    "permission to use copy modify and or distribute this software for any purpose": "isc",
     "licensed under cc by nc 4 0": "cc-by-nc",
     "licensed under cc by sa 4 0": "cc-by-sa",
+    "licensed under cc by nd 4 0": "cc-by-nd",
+    "licensed under cc by nc sa 4 0": "cc-by-nc-sa",
+    "licensed under cc by nc nd 4 0": "cc-by-nc-nd",
     "creative commons attribution": "cc-by",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "creative commons attribution noderivatives": "cc-by-nd",
+    "creative commons zero": "cc0",
+    "cc0 1 0 universal": "cc0",
     "gnu general public license": "gpl",
+    "gnu general public license version 2": "gpl-2.0",
+    "gnu general public license version 3": "gpl-3.0",
+    "gnu general public license as published by the free software foundation": "gpl",
     "gnu lesser general public license": "lgpl",
+    "gnu lesser general public license version 2 1": "lgpl-2.1",
+    "gnu lesser general public license version 3": "lgpl-3.0",
+    "gnu library general public license": "lgpl",
     "gnu affero general public license": "agpl",
+    "gnu affero general public license version 3": "agpl-3.0",
+    "gnu free documentation license": "gfdl",
     "mozilla public license": "mpl",
+    "mozilla public license version 1 1": "mpl-1.1",
+    "mozilla public license version 2 0": "mpl-2.0",
     "eclipse public license": "epl",
+    "eclipse public license version 1 0": "epl-1.0",
+    "eclipse public license version 2 0": "epl-2.0",
+    "common development and distribution license": "cddl",
+    "european union public licence": "eupl",
+    "boost software license version 1 0": "bsl-1.0",
+    "academic free license version 3 0": "afl-3.0",
+    "sil open font license version 1 1": "ofl-1.1",
+    "open data commons attribution license": "odc-by",
+    "open data commons open database license": "odbl",
+    "python software foundation license": "psf",
+    "the artistic license 2 0": "artistic-2.0",
+    "microsoft public license": "ms-pl",
+    "do what the fuck you want to public license": "wtfpl",
+    "this software is provided as is without any express or implied warranty": "zlib",
+    "this is free and unencumbered software released into the public domain": "unlicense",
     "dedicated to the public domain": "public-domain",
     "all rights reserved": "reserved",
+    "proprietary and confidential": "proprietary",
 }
 ERROR_RATE = 0.1
 
@@ -62,18 +108,6 @@ def pieces(notice: str) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def matches(pattern, words: str, low: int, high: int) -> list:
-    """Disjoint matches between two places: the best one, then those to its left and right."""
-    found, open_parts = [], [(low, high)]
-    while open_parts:
-        a, b = open_parts.pop()
-        m = pattern.search(words, a, b) if a < b else None
-        if m:
-            found.append(m)
-            open_parts += [(a, m.start()), (m.end(), b)]
-    return found
-
-
 class Scanner:
     """Finds base phrases and notices in one text."""
 
@@ -99,33 +133,59 @@ class Scanner:
         """Byte start and label of each place of a base phrase."""
         return [(m.start(), self.base_labels[m.lastindex - 1]) for m in self.base.finditer(raw.translate(_LOWER))]
 
+    def places(self, words: str) -> list[tuple[int, int, int, int]]:
+        """Notice, start, end and errors of each match, in characters of space-joined words.
+
+        A seed names the place where its notice would begin without errors; each
+        such place is searched once, in a window of the notice's length and its
+        errors on both sides, too short to hold two matches apart.
+        """
+        begins: dict[int, set[int]] = {}
+        for end, (size, seeds) in self.seeds.iter(words):
+            for i, at in seeds:
+                begins.setdefault(i, set()).add(end + 1 - size - at)
+        found = set()
+        for i, starts in begins.items():
+            n, _, k, pattern = self.notices[i]
+            for at in starts:
+                m = pattern.search(words, max(0, at - k), at + len(n) + k)
+                if m:
+                    start, end = m.span()
+                    while start < end and words[start] == " ":
+                        start += 1
+                    while end > start and words[end - 1] == " ":
+                        end -= 1
+                    found.add((i, start, end, sum(m.fuzzy_counts)))
+        return sorted(found)
+
     def fuzzy(self, raw: bytes) -> list[tuple[str, int, int, int, float]]:
-        """Label, first word, last word, errors and score of each notice found, one for each place and label."""
+        """Label, first word, last word, errors and score of each notice found.
+
+        Of notices that share words, the better ones stay; of equally good ones
+        with one label, the first.
+        """
         words = b" ".join(raw.translate(_BLANK).split()).decode(errors="replace")
-        windows: dict[int, list[list[int]]] = {}
-        for end, (size, places) in self.seeds.iter(words):
-            for i, at in places:
-                n, _, k, _ = self.notices[i]
-                low = max(0, end + 1 - size - at - k)
-                high = min(len(words), end + 1 - size - at + len(n) + k)
-                seen = windows.setdefault(i, [])
-                if seen and low <= seen[-1][1]:
-                    seen[-1][1] = max(seen[-1][1], high)
-                    seen[-1][0] = min(seen[-1][0], low)
-                else:
-                    seen.append([low, high])
-        found = []
-        for i, spans in windows.items():
-            n, label, k, pattern = self.notices[i]
-            for low, high in spans:
-                for m in matches(pattern, words, low, high):
-                    errors = sum(m.fuzzy_counts)
-                    first = words.count(" ", 0, m.start() + (words[m.start() : m.start() + 1] == " "))
-                    found.append((label, first, words.count(" ", 0, m.end()), errors, 1 - errors / len(n)))
+        places = self.places(words)
+        if not places:
+            return []
+        gaps = np.flatnonzero(np.frombuffer(words.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) == 32)
+        first = np.searchsorted(gaps, [p[1] for p in places]).tolist()
+        last = np.searchsorted(gaps, [p[2] for p in places]).tolist()
+        found = sorted({
+            (self.notices[i][1], a, b, errors, 1 - errors / len(self.notices[i][0])) for (i, _, _, errors), a, b in zip(places, first, last, strict=True)},
+            key=lambda f: (-f[4], f[1], -f[2], f[0]))
+        taken = np.zeros(len(gaps) + 1, dtype=bool)
         kept: list[tuple[str, int, int, int, float]] = []
-        for f in sorted(set(found), key=lambda f: (-f[4], f[1], f[0])):
-            if not any(f[1] <= x[2] and x[1] <= f[2] and f[4] < x[4] for x in kept):  # a worse notice at the same place
-                kept.append(f)
+        for _, equal in itertools.groupby(found, key=lambda f: f[4]):
+            until: dict[str, int] = {}
+            level = []
+            for f in equal:
+                if f[1] > until.get(f[0], -1) and not taken[f[1] : f[2] + 1].any():
+                    until[f[0]] = f[2]
+                    level.append(f)
+            for f in level:
+                taken[f[1] : f[2] + 1] = True
+            kept += level
         return sorted(kept)
 
 
@@ -184,8 +244,9 @@ def scan(docs: DataFrame) -> DataFrame:
 
     Nulls and edge cases: null text is empty; a text without words has no
     labels (empty strings), null places and score 0; rows, repeated ones too,
-    stay as they are; an empty table gives an empty result; columns other than
-    doc_id and text are ignored.
+    stay as they are, and null ids stay null; very long texts take time in
+    proportion to their length; an empty table gives an empty result; columns
+    other than doc_id and text are ignored.
     """
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         _scanned, f"doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans {_SPANS}")
