@@ -17,8 +17,8 @@ from corpusq.llm.tables import read_table, text_or_empty, written
 WEIGHTS = (5, 2, 1)
 MOST = 3
 SEED = 11
-#: Rows of one key interval of a source.
-CELL_ROWS = 50_000
+#: Rows of one key interval of a source; more where a source has over CELL_ROWS * 2**17 rows.
+CELL_ROWS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -79,7 +79,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST)
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
         words_in(text_or_empty()).alias("size"), random_key().alias("key")), "sizes")
     sources = written(source_targets(sizes, weights, most), "sources")
-    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("source_rows") / CELL_ROWS))).cast("int")
+    bits = F.greatest(F.lit(0), F.least(F.lit(17), F.ceil(F.log2(F.col("source_rows") / CELL_ROWS)))).cast("int")
     rows = sizes.join(
         sources.select(F.col("source").alias("of"), "sid", bits.alias("bits")), F.col("source").eqNullSafe(F.col("of"))
     ).withColumn("cell", F.call_function("shiftright", F.col("key"), F.lit(63) - F.col("bits"))).drop("of", "bits")
