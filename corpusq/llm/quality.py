@@ -1,10 +1,10 @@
 """Quality by importance resampling.
 
 Two generative models over hashed words and word pairs, one of good texts and one
-of all texts, give each document the logarithm of its importance weight, as if it
-had LENGTH n-grams.  Gumbel noise from the document's id turns weights into keys,
-and the documents with the largest keys are a sample without replacement in
-proportion to the weights.
+of all texts, give each document the logarithm of its importance weight: the sum
+of log ratios of its n-grams.  Gumbel noise from the document's id and text turns
+weights into keys, and the documents with the largest keys are a sample without
+replacement in proportion to the weights.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from corpusq.llm.shingles import U, mix, shingle_runs
 from corpusq.llm.tables import read_table, text_or_empty, written
 
 BUCKETS = 1 << 15
-LENGTH = 100.0
 SMOOTHING = 1.0
 #: Labelled good rows that the target model uses at most, the smallest by hash of doc_id.
 TARGET_ROWS = 20_000
@@ -77,8 +76,8 @@ def _weighed(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
         n, weight = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
         for row, grams in _grams(batch.column("text")):
             n[row] = len(grams)
-            weight[row] = ratio[grams].mean() * LENGTH if len(grams) else 0.0
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(weight)], names=["doc_id", "n_grams", "log_weight"])
+            weight[row] = ratio[grams].sum()
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("print"), pa.array(n), pa.array(weight)], names=["doc_id", "print", "n_grams", "log_weight"])
 
 
 def kth_largest(rows: DataFrame, column: str, k: int) -> tuple[int, int]:
@@ -106,26 +105,31 @@ def resampled(docs: DataFrame, labels: DataFrame, share: float = SHARE) -> DataF
     Returns doc_id, n_grams, log_weight, gumbel_key and kept.
 
     Nulls and edge cases: null, empty and blank texts have no n-grams and weight
-    0; a null doc_id has noise of its own; rows with equal keys enter by doc_id,
-    null first, then by text hash; repeated rows are each a row of the sample's
-    size; without good labels both models are smoothed alike; an empty table
-    gives an empty result.
+    0; rows of a null doc_id have noise by their texts; rows with equal keys enter
+    by doc_id, null first, then by text hash; repeated rows have equal keys and
+    are each a row of the sample's size; very long texts are hashed in pieces;
+    without good labels both models are smoothed alike; an empty table gives an
+    empty result; columns other than doc_id and text are ignored.
     """
     ratio = models(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
-    weighed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(
-        lambda b: _weighed(b, shared), "doc_id long, n_grams long, log_weight double")
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id"), 12) + F.lit(0.5)) / F.lit(float(1 << 52))
+    weighed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.xxhash64(text_or_empty()).alias("print")).mapInArrow(
+        lambda b: _weighed(b, shared), "doc_id long, print long, n_grams long, log_weight double")
+    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id", "print"), 12) + F.lit(0.5)) / F.lit(float(1 << 52))
     keyed = weighed.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform)))
     rows = written(keyed.withColumn("fine", F.floor(F.col("gumbel_key") * _FINE).cast("long")), "weighed")
     total = rows.count()
     k = int(total * share)
+    out = ["doc_id", "n_grams", "log_weight", "gumbel_key"]
     if not k:
-        return rows.drop("fine").withColumn("kept", F.lit(False))
+        return rows.select(*out, F.lit(False).alias("kept"))
     cut, above = kth_largest(rows, "fine", k)
-    tied = rows.where(F.col("fine") == cut).withColumn("nth", F.row_number().over(Window.orderBy(F.desc("gumbel_key"), "doc_id")))
-    clear = rows.where(F.col("fine") != cut).withColumn("kept", F.col("fine") > cut)
-    return clear.drop("fine").unionByName(tied.withColumn("kept", F.col("nth") <= k - above).drop("fine", "nth"))
+    # rows at the cut: equal ones are counted first, and the window orders what is left, a step of 2**-20 of the keys
+    tied = rows.where(F.col("fine") == cut).groupBy(*out, "print").agg(F.count("*").alias("copies"))
+    order = Window.orderBy(F.desc("gumbel_key"), "doc_id", "print").rowsBetween(Window.unboundedPreceding, -1)
+    tied = tied.withColumn("ahead", F.coalesce(F.sum("copies").over(order), F.lit(0))).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    clear = rows.where(F.col("fine") != cut).select(*out, (F.col("fine") > cut).alias("kept"))
+    return clear.unionByName(tied.select(*out, (F.col("ahead") + F.col("nth") <= k - above).alias("kept")))
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
