@@ -5,6 +5,10 @@ and parts are joined again in pairs.  A join encodes a window of tokens around t
 seam.  If the window's first tokens equal those of the left part and its last ones
 those of the right part, the window's tokens replace them; otherwise the window
 doubles.  A window that reaches both ends is the plain encoding.
+
+Texts of more than SPREAD characters are halved over tasks: their parts are
+encoded in parallel by all executors and joined by one task for each text.
+Shorter texts are encoded within the task that reads them.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from corpusq.llm.tables import read_table
 
 #: Characters of a leaf; longer texts are halved.
 LEAF = 16_384
+#: Characters above which a text's parts go to different tasks, and of such a part.
+SPREAD = 524_288
 #: Tokens on each side of a seam in the first window, and how many must agree.
 WINDOW, AGREE = 24, 6
 #: Characters that go to the library in one call.
@@ -120,6 +126,15 @@ class Codec:
         done = self.plain(leaves)
         return [join(p) for p in plans]
 
+    def assembled(self, parts: list[tuple[str, list[int]]]) -> list[int]:
+        """The encoding of a text from its parts in order and their encodings, joined as a tree."""
+        level = [(text.encode(), ids) for text, ids in parts]
+        while len(level) > 1:
+            pairs = [(level[i][0] + level[i + 1][0], self.joined(level[i][1], level[i + 1][1], level[i][0] + level[i + 1][0], len(level[i][0])))
+                     for i in range(0, len(level) - 1, 2)]
+            level = pairs + level[len(pairs) * 2 :]
+        return level[0][1]
+
     def decode(self, ids: list[int]) -> bytes:
         """The decoded text in UTF-8; bytes that are none become U+FFFD, as the library does."""
         raw = b"".join(map(self.piece.__getitem__, ids))
@@ -147,30 +162,78 @@ def _batches(texts: list[str], most: int = BATCH_CHARS) -> Iterator[tuple[int, i
         at = end
 
 
-def _digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+def _digest_row(use: Codec, ids: list[int]) -> tuple[int, str, str]:
+    return len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(use.decode(ids)).hexdigest()
+
+
+def _digest_batch(doc_ids: pa.Array, rows: list[tuple[int, str, str]]) -> pa.RecordBatch:
+    n, ids_sha, text_sha = ([r[i] for r in rows] for i in range(3))
+    return pa.RecordBatch.from_arrays(
+        [doc_ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
+        names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def _ids_batch(doc_ids: pa.Array, rows: list[list[int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([doc_ids.cast(pa.int64()), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+
+
+def _short(batches: Iterator[pa.RecordBatch], path: str, digest: bool) -> Iterator[pa.RecordBatch]:
+    """Whole texts of one task."""
     use = codec(path)
     for batch in batches:
-        n, ids_sha, text_sha = [], [], []
-        column = batch.column("text")
         for at in range(0, batch.num_rows, 512):
-            texts = [t or "" for t in column.slice(at, 512).to_pylist()]
+            own = batch.slice(at, 512)
+            texts = [t or "" for t in own.column("text").to_pylist()]
             for a, b in _batches(texts):
-                for ids in use.encode(texts[a:b]):
-                    n.append(len(ids))
-                    ids_sha.append(hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest())
-                    text_sha.append(hashlib.sha256(use.decode(ids)).hexdigest())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
-            names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                found = use.encode(texts[a:b])
+                doc_ids = own.column("doc_id").slice(a, b - a)
+                yield _digest_batch(doc_ids, [_digest_row(use, ids) for ids in found]) if digest else _ids_batch(doc_ids, found)
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+_PARTS = "doc_id long, copies long, print string, part int, text string"
+
+
+def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The parts of long texts."""
+    for batch in batches:
+        for i, copies, print_, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "copies", "print", "text")), strict=True):
+            for part, at in enumerate(range(0, len(text), size)):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i], pa.int64()), pa.array([copies], pa.int64()), pa.array([print_]), pa.array([part], pa.int32()), pa.array([text[at : at + size]])],
+                    names=["doc_id", "copies", "print", "part", "text"])
+
+
+def _encode_parts(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     use = codec(path)
     for batch in batches:
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        for a, b in _batches(texts):
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(a, b - a).cast(pa.int64()), pa.array(use.encode(texts[a:b]), pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        for row in range(batch.num_rows):
+            own = batch.slice(row, 1)
+            ids = use.encode([own.column("text")[0].as_py()])
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*own.schema.names, "ids"])
+
+
+def _join_parts(table: pa.Table, path: str, digest: bool) -> pa.Table:
+    """One long text, as often as it stands."""
+    use = codec(path)
+    table = table.sort_by("part")
+    ids = use.assembled(list(zip(table["text"].to_pylist(), table["ids"].to_pylist(), strict=True)))
+    copies = table["copies"][0].as_py()
+    doc_ids = pa.array([table["doc_id"][0].as_py()] * copies, pa.int64())
+    batch = _digest_batch(doc_ids, [_digest_row(use, ids)] * copies) if digest else _ids_batch(doc_ids, [ids] * copies)
+    return pa.Table.from_batches([batch])
+
+
+def _encoded(docs: DataFrame, path: str, digest: bool, spread: int) -> DataFrame:
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids array<int>"
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    long = F.coalesce(F.length("text") > spread, F.lit(False))
+    # rows that are equal are one text with a count
+    parts = (
+        texts.where(long).withColumn("print", F.sha2("text", 256)).groupBy("doc_id", "print").agg(F.count("*").alias("copies"), F.first("text").alias("text"))
+        .mapInArrow(lambda b: _cut(b, spread), _PARTS).repartition("doc_id", "print", "part")
+        .mapInArrow(lambda b: _encode_parts(b, path), f"{_PARTS}, ids array<int>"))
+    whole = parts.groupBy("doc_id", "print").applyInArrow(lambda t: _join_parts(t, path, digest), schema)
+    return texts.where(~long).mapInArrow(lambda b: _short(b, path, digest), schema).unionByName(whole)
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -180,14 +243,14 @@ def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, spread: int = SPREAD) -> DataFrame:
     """doc_id and ids (array<int>) of every text; null text is encoded as empty, with no ids.
 
-    Rows, repeated ones too, stay as they are; an empty table gives an empty
-    result; columns other than doc_id and text are ignored.
+    Rows, repeated ones too, stay as often as they stand, and null ids stay null;
+    an empty table gives an empty result; columns other than doc_id and text are
+    ignored.  `spread` moves work between tasks and never changes the result.
     """
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        lambda b: _encoded(b, path), "doc_id long, ids array<int>")
+    return _encoded(docs, path, False, spread)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -196,13 +259,12 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         lambda b: _decoded(b, path), "doc_id long, text string")
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
+def digests(docs: DataFrame, path: str, spread: int = SPREAD) -> DataFrame:
     """Number and digest of the ids of every text, and the digest of what they decode to.
 
     The same rules for nulls and edge cases as `encode`.
     """
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        lambda b: _digests(b, path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _encoded(docs, path, True, spread)
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
