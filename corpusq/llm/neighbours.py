@@ -32,7 +32,8 @@ WIDTH = 2.0
 CELL_ROWS = 200
 #: The neighbour distance is fitted on so many rows at most, the smallest by hash of vec_id.
 SAMPLE = 2000
-BLOCK_ROWS = 8192
+#: Members and queries of a cell that meet in one task; more of either are split.
+BLOCK_ROWS, BLOCK_QUERIES = 8192, 2048
 SEED = 5
 
 
@@ -150,10 +151,10 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, tables: int = TAB
 
     Nulls and edge cases: rows that `vectors.usable` leaves out are neither
     queries nor candidates; vectors of different lengths are never compared;
-    repeated rows of one vec_id are one candidate; empty tables give an empty
-    result; columns other than vec_id and embedding are ignored.
+    repeated rows of one vec_id are one candidate, with the smallest components;
+    empty tables give an empty result; columns other than vec_id and embedding are ignored.
     """
-    rows = usable(vectors).dropDuplicates(["vec_id"])
+    rows = usable(vectors).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     classes = written(_classes(rows, k), "vectors")
     queries = written(rows.where(F.col("vec_id") % every == 0), "queries")
     distance, m = fit(classes.select(F.col("ids")[0].alias("vec_id"), "embedding"), k)
@@ -172,26 +173,38 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, tables: int = TAB
     index = written(
         classes.mapInArrow(hashed, "key long, ids array<long>, embedding array<double>")
         .join(asked.select("key").distinct(), "key", "left_semi"), "index")
-    blocks = index.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    members = index.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64(F.col("ids")[0]), "blocks").cast("int")).drop("blocks")
-    spread = asked.join(blocks, "key").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    found = spread.groupBy("key", "block").cogroup(members.groupBy("key", "block")).applyInArrow(closest, _FOUND)
+    def parts(rows, size, name):
+        return rows.groupBy("key").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+
+    # both sides of a hot cell are split: each block of members meets each block of queries
+    sizes = written(parts(index, BLOCK_ROWS, "m").join(parts(asked, BLOCK_QUERIES, "n"), "key"), "cells")
+    members = index.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64(F.col("ids")[0]), "m").cast("int")).withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("m", "n")
+    spread = asked.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("vec_id"), "n").cast("int")).withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).drop("m", "n")
+    found = spread.groupBy("key", "block", "part").cogroup(members.groupBy("key", "block", "part")).applyInArrow(closest, _FOUND)
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     lists = written(
         found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
         .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "lists")
 
     short = queries.join(lists.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
-    total = F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK_ROWS).cast("int")).alias("blocks")
-    count = classes.agg(total)
-    everyone = classes.crossJoin(count).select(
-        "ids", "embedding", F.size("embedding").alias("dims"), F.pmod(F.xxhash64(F.col("ids")[0]), "blocks").cast("int").alias("block"))
-    again = short.crossJoin(count).select(
-        "vec_id", "embedding", F.size("embedding").alias("dims"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    whole = (
-        again.groupBy("dims", "block").cogroup(everyone.groupBy("dims", "block")).applyInArrow(closest, _FOUND)
-        .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    ) if not short.isEmpty() else None
+    whole = None
+    if not short.isEmpty():
+        def blocks(rows, size, name):
+            return rows.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size).cast("int")).alias(name))
+
+        grid = blocks(classes, BLOCK_ROWS, "m").crossJoin(blocks(short, BLOCK_QUERIES, "n"))
+        everyone = classes.crossJoin(grid).select(
+            "ids", "embedding", F.size("embedding").alias("dims"), F.pmod(F.xxhash64(F.col("ids")[0]), "m").cast("int").alias("block"),
+            F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"))
+        again = short.crossJoin(grid).select(
+            "vec_id", "embedding", F.size("embedding").alias("dims"), F.pmod(F.xxhash64("vec_id"), "n").cast("int").alias("part"),
+            F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("block"))
+        keys = ["dims", "block", "part"]
+        whole = (
+            again.groupBy(*keys).cogroup(everyone.groupBy(*keys)).applyInArrow(closest, _FOUND)
+            .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
     out = lists
     if whole is not None:
         out = lists.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(whole)
