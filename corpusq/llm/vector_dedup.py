@@ -1,26 +1,34 @@
 """Near-duplicate vectors by tiled comparison in PCA order.
 
 Unit vectors are turned onto the principal axes of all rows, strongest first.
-Within a label, rows fall into strips of the first axis no narrower than a link
-can be long, and strips into blocks; only blocks of the same or neighbouring
-strips meet.  A pair of blocks accumulates the products of leading axes first: the
-rest of a product is at most the product of the two suffix norms, so pairs that
-cannot reach the threshold leave early.  Those left are compared exactly.
+Within a label, cells of the first axes, no narrower than a link can be long, are
+filled into blocks in order, so a block covers a small box of the leading axes.
+Boxes that are farther apart than a link is long never meet: only the other pairs
+of blocks are shipped.  Such a pair accumulates the products of leading axes
+first: the rest of a product is at most the product of the two suffix norms, so
+pairs that cannot reach the threshold leave early.  Those left are compared
+exactly.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusq.llm.tables import components, read_table, written
 from corpusq.llm.vectors import lengths, matrix, usable
 
-BLOCK_ROWS = 1024
+#: Rows of a block: at least the first number; for larger labels a BLOCKS-th part, up to the second.
+BLOCK_ROWS, MOST_ROWS, BLOCKS = 1024, 16_384, 64
+#: Leading axes that make cells, and those that a block's box has sides on.
+CELL_AXES, BOX_AXES = 4, 8
+#: Rows of one block in a product within a task.
+TILE = 2048
 #: Leading axes after which the bound is tested.
 STAGES = (8, 24)
 
@@ -53,15 +61,20 @@ def axes(rows: DataFrame) -> dict[int, np.ndarray]:
     return out
 
 
-def _turned(batches: Iterator[pa.RecordBatch], basis: dict[int, np.ndarray], strip: float) -> Iterator[pa.RecordBatch]:
+def _turned(batches: Iterator[pa.RecordBatch], basis: dict[int, np.ndarray], width: float) -> Iterator[pa.RecordBatch]:
+    """Rows with their number of axes, cell and leading coordinates (0 beyond the last axis)."""
     for batch in batches:
         size = lengths(batch.column("embedding"))
         for dims in np.unique(size):
             rows = batch.filter(pa.array(size == dims))
             x = matrix(rows.column("embedding"))
-            first = (x / np.linalg.norm(x, axis=1)[:, None]) @ basis[int(dims)][:, 0]
+            lead = np.zeros((len(x), BOX_AXES))
+            turned = (x / np.linalg.norm(x, axis=1)[:, None]) @ basis[int(dims)][:, :BOX_AXES]
+            lead[:, : turned.shape[1]] = turned
+            cell = np.floor(lead[:, :CELL_AXES] / width).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [*rows.columns, pa.array(np.full(len(x), dims, np.int32)), pa.array(np.floor(first / strip).astype(np.int32))], names=[*rows.schema.names, "dims", "strip"])
+                [*rows.columns, pa.array(np.full(len(x), dims, np.int32)), pa.array(list(cell), pa.list_(pa.int32())), pa.array(list(lead), pa.list_(pa.float64()))],
+                names=[*rows.schema.names, "dims", "cell", "lead"])
 
 
 def close_pairs(a: np.ndarray, b: np.ndarray, basis: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -105,9 +118,11 @@ def _compared(table: pa.Table, basis: dict[int, np.ndarray], threshold: float) -
             v = parent[v]
         return int(v)
 
-    if len(left) and len(right):
-        i, j = close_pairs(x[left], x[right], basis[x.shape[1]], threshold)
-        i, j = left[i], right[j]
+    for at, to in itertools.product(range(0, len(left), TILE), range(0, len(right), TILE)):
+        if one and to < at:
+            continue
+        i, j = close_pairs(x[left[at : at + TILE]], x[right[to : to + TILE]], basis[x.shape[1]], threshold)
+        i, j = left[at : at + TILE][i], right[to : to + TILE][j]
         if one:
             i, j = i[i < j], j[i < j]
         np.add.at(n_links, i, copies[j])
@@ -126,6 +141,46 @@ def _compared(table: pa.Table, basis: dict[int, np.ndarray], threshold: float) -
     })
 
 
+def _blocked(placed: DataFrame) -> DataFrame:
+    """placed with its block within label and dims: cells in order, filled up to a size; larger cells cut by a hash of the id."""
+    group = ["label", "dims"]
+    cells = placed.groupBy(*group, "cell").agg(F.count("*").alias("n"))
+    all_rows = F.sum("n").over(Window.partitionBy(*group))
+    size = F.greatest(F.lit(BLOCK_ROWS), F.least(F.lit(MOST_ROWS), F.ceil(all_rows / BLOCKS)))
+    in_order = Window.partitionBy(*group).orderBy("cell")
+    pieces = F.ceil(F.col("n") / F.col("size")).cast("long")
+    # a cell of more than one piece stands alone; the others share blocks by what lies before them
+    numbered = (
+        cells.withColumn("size", size).withColumn("pieces", pieces).withColumn("alone", F.col("pieces") > 1)
+        .withColumn("break", F.when(F.col("alone") | F.coalesce(F.lag("alone").over(in_order), F.lit(True)), 1).otherwise(0))
+        .withColumn("run", F.sum("break").over(in_order)))
+    in_run = Window.partitionBy(*group, "run").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.call_function("div", F.coalesce(F.sum("n").over(in_run), F.lit(0)), F.col("size").cast("long"))
+    first = F.struct("run", ahead.alias("of"), F.lit(0).cast("long").alias("piece"))
+    numbered = numbered.withColumn("first", first).select(*group, "cell", "pieces", "first")
+    block = F.struct(F.col("first.run").alias("run"), F.col("first.of").alias("of"), F.pmod(F.xxhash64("vec_id"), F.col("pieces")).alias("piece"))
+    return placed.join(numbered, [*group, "cell"]).withColumn("block", block).drop("cell", "pieces", "first")
+
+
+def tiles(blocked: DataFrame, longest: float) -> DataFrame:
+    """The pairs of blocks (x, y) of one label and length that a link can join, as label, dims, block, x, y and side.
+
+    A block is a row with its box here; vectors follow the pairs that are left.
+    """
+    box = [f(F.col("lead")[i]).alias(f"{n}{i}") for i in range(BOX_AXES) for f, n in ((F.min, "low"), (F.max, "high"))]
+    boxes = written(blocked.groupBy("label", "dims", "block").agg(*box), "boxes")
+    other = boxes.select("label", "dims", F.col("block").alias("y"), *[F.col(f"{n}{i}").alias(f"{n}{i}_") for i in range(BOX_AXES) for n in ("low", "high")])
+    apart = F.lit(0.0)
+    for i in range(BOX_AXES):
+        gap = F.greatest(F.lit(0.0), F.col(f"low{i}") - F.col(f"high{i}_"), F.col(f"low{i}_") - F.col(f"high{i}"))
+        apart = apart + gap * gap
+    pairs = written(
+        boxes.withColumnRenamed("block", "x").join(other, ["label", "dims"]).where((F.col("x") <= F.col("y")) & (apart <= longest * longest))
+        .select("label", "dims", "x", "y"), "tiles")
+    left = pairs.select("label", "dims", F.col("x").alias("block"), "x", "y", F.lit(0).alias("side"))
+    return left.unionByName(pairs.where("x != y").select("label", "dims", F.col("y").alias("block"), "x", "y", F.lit(1).alias("side")))
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     """Links between vectors of one label with a cosine of at least threshold.
 
@@ -136,31 +191,30 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     Nulls and edge cases: rows with a null label and those that
     `vectors.usable` leaves out link with nothing (n_links 0, component_id =
     vec_id); a null vec_id has component null and is kept; vectors of different
-    lengths are never linked; repeated rows of one vec_id are one vector; an
-    empty table gives an empty result; columns other than vec_id, label and
-    embedding are ignored.
+    lengths are never linked; repeated rows of one vec_id are one vector (the
+    one with the smallest label and components); an empty table gives an empty result; columns other
+    than vec_id, label and embedding are ignored.
     """
-    rows = usable(vectors.where(F.col("label").isNotNull()), F.col("label").cast("string").alias("label")).dropDuplicates(["vec_id"])
+    rows = usable(vectors.where(F.col("label").isNotNull()), F.col("label").cast("string").alias("label"))
+    rows = rows.groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("v")).select("vec_id", "v.label", "v.embedding")
     members = written(rows, "members")
     classes = written(members.groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")), "classes")
     basis = axes(classes)
-    strip = float(np.sqrt(max(2 * (1 - threshold), 0))) + 1e-6
+    longest = float(np.sqrt(max(2 * (1 - threshold), 0))) + 1e-6
 
     def turned(batches):
-        return _turned(batches, basis, strip)
+        return _turned(batches, basis, longest)
 
     def compared(table):
         return _compared(table, basis, threshold)
 
     placed = written(classes.select("label", "vec_id", "copies", "embedding").mapInArrow(
-        turned, "label string, vec_id long, copies long, embedding array<double>, dims int, strip int"), "placed")
-    sizes = placed.groupBy("label", "dims", "strip").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    own = placed.join(sizes, ["label", "dims", "strip"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int")).drop("blocks")
-    near = own.withColumn("to", F.explode(F.array(F.col("strip") - 1, F.col("strip"), F.col("strip") + 1))).join(
-        sizes.withColumnRenamed("strip", "to"), ["label", "dims", "to"]).withColumn("to_block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    me, it = F.struct(F.col("strip").alias("s"), F.col("block").alias("b")), F.struct(F.col("to").alias("s"), F.col("to_block").alias("b"))
+        turned, "label string, vec_id long, copies long, embedding array<double>, dims int, cell array<int>, lead array<double>"), "placed")
+    blocked = written(_blocked(placed), "blocked")
+    near = tiles(blocked, longest)
     found = written(
-        near.select("label", "dims", F.least(me, it).alias("x"), F.greatest(me, it).alias("y"), (me > it).cast("int").alias("side"), "vec_id", "copies", "embedding")
+        blocked.drop("lead").join(near, ["label", "dims", "block"])
+        .select("label", "dims", "x", "y", "side", "vec_id", "copies", "embedding")
         .groupBy("label", "dims", "x", "y").applyInArrow(compared, "vec_id long, n long, other long"), "found")
     reached = components(found.where("other IS NOT NULL"), "vec_id", "other")
     counts = found.groupBy("vec_id").agg(F.sum("n").alias("n")).select(F.col("vec_id").alias("rep"), "n")
