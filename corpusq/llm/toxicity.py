@@ -5,16 +5,23 @@ in order, powers of a decay for the lengths that the triples span, so strings wi
 gaps and inserted characters stay close; it is normalised to 1 for equal strings.
 A document is scored by its worst windows: words, parts of long words, letters that
 stand apart, and runs of consecutive words, joined whatever separates them, of up to
-RUN letters.  Runs count from a margin of RUN_FROM on; a bound on the kernel, from
-short triples and the greatest weight between two characters, leaves out only runs
-that can't reach it.
-
-Labels are of documents, so training is by multiple instances: words and word
-beginnings, parts of long words and runs that explain most toxic documents give the
-first positive windows, words of clean documents the negative ones; windows of clean documents that score highest
-join the negatives, and the machine is trained again.  A linear machine on landmark
-features is one weight for each triple, which is all that the workers get.  A
-logistic scale over a document's three worst windows makes the score.
+RUN letters.  Windows do not end at sentence ends, which insults can hold.  Runs
+count from a margin of RUN_FROM on; a bound on the kernel, from short triples and
+the greatest weight between two characters, leaves out only runs that can't reach
+it.  Scoring covers every window of the whole text.
+
+Labels are of documents, so training is by multiple instances on the windows of
+labelled documents, not on labelled sentences, which the tables don't have: words,
+word beginnings, parts of long words and runs that explain most toxic documents
+give the first positive windows, words of clean documents the negative ones;
+windows of clean documents that score highest join the negatives, and the machine
+is trained again.  A linear machine on landmark features is one weight for each
+triple, which is all that the workers get.  A logistic scale over a document's
+three worst windows makes the score.
+
+Only the fit is bounded: FIT_ROWS labelled documents, CANDIDATES words and as many
+runs looked at as first positives, NEGATIVES words drawn and as many hard windows
+added in each of ROUNDS rounds, LANDMARKS landmarks.
 """
 
 from __future__ import annotations
@@ -33,7 +40,7 @@ from corpusq.llm.tables import read_table, written
 
 #: Labelled rows that the fit uses at most, the smallest by hash of doc_id.
 FIT_ROWS = 10_000
-#: Words of toxic documents considered as first positives, and negatives drawn, at most.
+#: Words and runs of toxic documents considered as first positives (each), negatives drawn, and landmarks, at most.
 CANDIDATES, NEGATIVES, LANDMARKS = 4000, 6000, 160
 DECAY, CODES, SPAN = 0.5, 64, 16
 ROUNDS = 2
@@ -304,7 +311,7 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each document's distinct marked words, parts of longer ones, and word beginnings of 4 to 7 characters."""
     for batch in batches:
         for i, y, t in zip(batch.column("doc_id").to_pylist(), batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            words = [w for w in words_of(t or "") if len(w) > 2]
+            words = words_of(t or "")
             out = [*{p for w in words for p in windows(w)}, *{f"^{w[:n]}" for w in words for n in range(4, min(len(w), 8))}]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([i] * len(out), pa.int64()), pa.array([y] * len(out), pa.int32()), pa.array(out, pa.string())], names=["doc_id", "toxic", "word"])
@@ -315,7 +322,7 @@ def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             letters, first, last = runs_of(t or "")
-            out = [f"^{w}$" for w in {letters[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)} - words_of(t or "") if len(w) > 2]
+            out = [f"^{w}$" for w in {letters[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)} - words_of(t or "")]
             yield pa.RecordBatch.from_arrays([pa.array([i] * len(out), pa.int64()), pa.array(out, pa.string())], names=["doc_id", "word"])
 
 
