@@ -24,16 +24,17 @@ def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group; of repeated rows of one doc_id, one."""
+    """The document with the smallest doc_id of each group; of rows equal in doc_id and text, one."""
     found = minhash.near_duplicates(docs, k=5, percent=80)
     gone = found.where("NOT kept").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])).select(*docs.columns)
+    kept = docs.join(gone, "doc_id", "left_anti").withColumn("_text", F.xxhash64("text"))
+    known = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "_text"])
+    return kept.where("doc_id IS NULL").unionByName(known).select(*docs.columns)
 
 
 def pseudonymise(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data replaced; n_chars follows."""
-    out = pii.pseudonymised(docs).drop("pii")
+    """Texts with personal data replaced under the session's key; n_chars follows."""
+    out = pii.pseudonymised(docs, pii.session_key(spark)).drop("pii")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
