@@ -40,7 +40,7 @@ def plain(spark, data):
                 x, y = sorted((top(a), top(b)))
                 first[y] = x
     rows = [r for r in rows if top(r.doc_id) == r.doc_id]
-    changed = pii.pseudonymised(spark.createDataFrame(rows, docs.schema)).withColumn("key", mixing.random_key()).collect()
+    changed = pii.pseudonymised(spark.createDataFrame(rows, docs.schema), pii.session_key(spark)).withColumn("key", mixing.random_key()).collect()
     by_source = collections.defaultdict(list)
     for r in changed:
         by_source[r.source].append(r)
