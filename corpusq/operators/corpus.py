@@ -49,8 +49,13 @@ def upsert(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 def split_random(rows: DataFrame, key: str, train: float, val: float) -> DataFrame:
     """floor(train * n) rows in hash order, then floor(val * n), the rest test."""
-    n = rows.agg(F.count("*").alias("n"))
-    placed = rows.withColumn("_i", F.row_number().over(Window.orderBy(hash_order(key), key))).crossJoin(F.broadcast(n))
+    # 4096 intervals of the hash are counted; a row's place is what lies before its interval and its rank within it
+    hashed = rows.withColumn("_h", hash_order(key)).withColumn("_c", F.substring("_h", 1, 3))
+    counts = hashed.groupBy("_c").agg(F.count("*").alias("_m"))
+    ahead = Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_c", F.coalesce(F.sum("_m").over(ahead), F.lit(0)).alias("_s"), F.sum("_m").over(Window.partitionBy()).alias("n"))
+    within = F.row_number().over(Window.partitionBy("_c").orderBy("_h", key))
+    placed = hashed.withColumn("_r", within).join(F.broadcast(starts), "_c").withColumn("_i", F.col("_s") + F.col("_r")).drop("_h", "_c", "_s", "_r")
     a, b = F.floor(F.lit(train) * F.col("n")), F.floor(F.lit(train) * F.col("n")) + F.floor(F.lit(val) * F.col("n"))
     return placed.withColumn("split", F.when(F.col("_i") <= a, "train").when(F.col("_i") <= b, "val").otherwise("test")).drop("_i", "n")
 
@@ -91,6 +96,23 @@ def negatives(candidates: DataFrame, query: str, inside: str, total: int, in_fil
     return picked.where(F.col("_n") <= F.col("_take")).drop("_in", "_all", "_take", "_n")
 
 
+def fifo(events: DataFrame, queue: str, order: list[str], put: Column, get: Column) -> DataFrame:
+    """Which item each `get` of a queue takes: the first not taken yet, null if the queue is empty then.
+
+    The length of a queue is what came in less what was asked for, raised by the
+    lowest point that this balance has had below zero; so gets that succeed, and
+    their numbers, follow from running sums, and no worker waits for a lock.
+    """
+    w = Window.partitionBy(queue).orderBy(*order)
+    so_far, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = events.withColumn("_put", put.cast("int")).withColumn("_get", get.cast("int")).withColumn("_b", F.sum(F.col("_put") - F.col("_get")).over(so_far))
+    low = F.least(F.lit(0), F.coalesce(F.min("_b").over(before), F.lit(0)))
+    rows = rows.withColumn("_ok", (F.col("_get") == 1) & (F.coalesce(F.lag("_b").over(w), F.lit(0)) - low > 0))
+    rows = rows.withColumn("_n", F.when(F.col("_ok"), F.sum(F.col("_ok").cast("int")).over(so_far)))
+    item = rows.withColumn("_k", F.sum("_put").over(so_far)).where("_put = 1").select(queue, F.col("_k").alias("_n"), F.struct(*order).alias("item"))
+    return rows.where("_get = 1").join(item, [queue, "_n"], "left").drop("_put", "_get", "_b", "_ok", "_n")
+
+
 def resumed(expected: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """What is expected and not yet there."""
     return expected.join(done.select(key), key, "left_anti")

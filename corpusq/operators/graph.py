@@ -10,10 +10,11 @@ def value_iteration(nodes: DataFrame, edges: DataFrame, gamma: float, sweeps: in
     """V = reward for solved nodes, else gamma * the largest V of the children.
 
     nodes: id, reward (null if open); edges: id, child.  Each sweep is one join on
-    the child; `cut` (a checkpoint or a written table) bounds the lineage.  Sweeps
-    end when no value moves by more than the tolerance.
+    the child; `cut` (by default a checkpoint in the shared folder; or a written
+    table) bounds the lineage.  Sweeps end when no value moves by more than the
+    tolerance.
     """
-    cut = cut or (lambda df: df.cache())
+    cut = cut or (lambda df: df.checkpoint())
     values = cut(nodes.select("id", "reward", F.coalesce("reward", F.lit(0.0)).alias("v")))
     for _ in range(sweeps):
         best = edges.join(values.select(F.col("id").alias("child"), "v"), "child").groupBy("id").agg(F.max("v").alias("best"))

@@ -2,7 +2,9 @@
 
 Inputs are exploded: query terms (query, term), document terms (doc, term) and
 candidates (query, doc, ordinal).  A term's frequencies are counted once for each
-document; only terms of a query meet its candidates.
+document.  Where candidates are the documents of a query's scope (a source, a
+file), both term tables carry it, and terms meet by scope and term; otherwise
+document terms are cut to those asked for and meet the candidates by document.
 """
 
 from __future__ import annotations
@@ -11,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def term_frequencies(terms: DataFrame) -> DataFrame:
-    return terms.groupBy("doc", "term").agg(F.count("*").alias("tf"))
+def term_frequencies(terms: DataFrame, *more: str) -> DataFrame:
+    return terms.groupBy("doc", *more, "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequencies(terms: DataFrame) -> DataFrame:
@@ -23,12 +25,18 @@ def lengths(terms: DataFrame) -> DataFrame:
     return terms.groupBy("doc").agg(F.count("*").alias("len"))
 
 
-def _statistics(query_terms: DataFrame, doc_terms: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _statistics(query_terms: DataFrame, doc_terms: DataFrame, candidates: DataFrame, scope: str | None) -> tuple[DataFrame, DataFrame]:
     """Candidates with length and their query's N and mean length; (query, doc, term, qtf, tf, df)."""
-    size = candidates.join(lengths(doc_terms), "doc", "left").withColumn("len", F.coalesce("len", F.lit(0)))
+    more = (scope,) if scope else ()
+    counted = term_frequencies(doc_terms, *more)
+    size = candidates.join(counted.groupBy("doc").agg(F.sum("tf").alias("len")), "doc", "left").withColumn("len", F.coalesce("len", F.lit(0)))
     n = size.groupBy("query").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    asked = query_terms.groupBy("query", "term").agg(F.count("*").alias("qtf"))
-    hits = asked.join(term_frequencies(doc_terms), "term").join(candidates.select("query", "doc"), ["query", "doc"])
+    asked = query_terms.groupBy("query", *more, "term").agg(F.count("*").alias("qtf"))
+    if scope:
+        hits = counted.join(asked, [scope, "term"]).drop(scope)
+    else:
+        wanted = counted.join(asked.select("term").distinct(), "term", "left_semi")
+        hits = wanted.join(candidates.select("query", "doc"), "doc").join(asked, ["query", "term"])
     df = hits.groupBy("query", "term").agg(F.count("*").alias("df"))
     return size.join(n, "query"), hits.join(df, ["query", "term"])
 
@@ -39,18 +47,18 @@ def _scored(candidates: DataFrame, hits: DataFrame, term_score: Column) -> DataF
     return candidates.join(total, ["query", "doc"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
-def bm25(query_terms: DataFrame, doc_terms: DataFrame, candidates: DataFrame, k1: float = 1.8, b: float = 0.75) -> DataFrame:
+def bm25(query_terms: DataFrame, doc_terms: DataFrame, candidates: DataFrame, k1: float = 1.8, b: float = 0.75, scope: str | None = None) -> DataFrame:
     """Scores of all candidates; a repeated query term counts each time.  Returns query, doc, ordinal, score."""
-    size, hits = _statistics(query_terms, doc_terms, candidates)
+    size, hits = _statistics(query_terms, doc_terms, candidates, scope)
     rows = hits.join(size.select("query", "doc", "len", "n", "avg_len"), ["query", "doc"])
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     return _scored(candidates, rows, part).select("query", "doc", "ordinal", "score")
 
 
-def tfidf(query_terms: DataFrame, doc_terms: DataFrame, candidates: DataFrame) -> DataFrame:
+def tfidf(query_terms: DataFrame, doc_terms: DataFrame, candidates: DataFrame, scope: str | None = None) -> DataFrame:
     """Augmented query frequency * (tf / length) * idf squared; a repeated query term counts once, with its frequency."""
-    size, hits = _statistics(query_terms, doc_terms, candidates)
+    size, hits = _statistics(query_terms, doc_terms, candidates, scope)
     most = query_terms.groupBy("query", "term").count().groupBy("query").agg(F.max("count").alias("most"))
     rows = hits.join(size.select("query", "doc", "len", "n"), ["query", "doc"]).join(most, "query")
     idf = F.log(F.col("n") / F.col("df"))
@@ -122,6 +130,39 @@ def dense(queries: DataFrame, docs: DataFrame, on: list[str], k: int, score: Col
     return top_k(ranked(pairs, "query", "part").where(F.col("rank") <= k).drop("rank", "part"), k)
 
 
+def dense_groups(queries: DataFrame, docs: DataFrame, on: list[str], group: str, k: int, score: Column) -> DataFrame:
+    """The k best distinct groups (proofs) of each query: a group counts with its best member (step), ties to the smaller ordinal."""
+    pairs = docs.join(queries, on).select("query", group, "ordinal", score.alias("score"))
+    best = pairs.groupBy("query", group).agg(F.max(F.struct("score", (-F.col("ordinal")).alias("n"))).alias("b"))
+    return top_k(best.select("query", group, F.col("b.score").alias("score"), (-F.col("b.n")).alias("ordinal")), k)
+
+
+def structured_context(goals: DataFrame, index: DataFrame, edges: DataFrame, depth: int, most: int, budget: int) -> DataFrame:
+    """Definitions that a goal refers to: seeds, then what they refer to up to a depth, ranked and cut to a budget.
+
+    goals: goal, name, in_hyp, in_goal (one row for each name); index: name, size
+    (tokens), parts (constructors), std; edges: name, refers.  Standard library
+    names are leaves and are left out.  Names of hypotheses go before those of the
+    conclusion, near ones before far ones, small ones before large ones.
+    """
+    known = index.where("NOT std").select("name", "size", "parts")
+    seeds = goals.groupBy("goal", "name").agg(F.max("in_hyp").alias("in_hyp"), F.max("in_goal").alias("in_goal"))
+    front = seeds.select("goal", "name").join(known.select("name"), "name", "left_semi").withColumn("depth", F.lit(0))
+    found = front
+    for d in range(1, depth + 1):
+        front = front.join(edges, "name").select("goal", F.col("refers").alias("name"), F.lit(d).alias("depth")).distinct().join(
+            known.select("name"), "name", "left_semi").select("goal", "name", "depth")
+        found = found.select("goal", "name", "depth").unionByName(front)
+    rows = found.groupBy("goal", "name").agg(F.min("depth").alias("depth")).join(known, "name").join(seeds, ["goal", "name"], "left")
+    value = (
+        F.when(F.col("in_hyp"), 10).otherwise(0) + F.when(F.col("in_goal"), 5).otherwise(0) + (depth - F.col("depth")) * 2
+        + F.greatest(F.lit(0.0), 3 - F.col("parts") * 0.2))
+    w = Window.partitionBy("goal").orderBy(F.desc("value"), "depth", "name")
+    ranked_rows = rows.withColumn("value", value).withColumn("rank", F.row_number().over(w).cast("long")).withColumn(
+        "used", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return ranked_rows.where((F.col("used") <= budget) & (F.col("rank") <= most)).select("goal", "name", "depth", "rank")
+
+
 def gather(requests: DataFrame, vectors: DataFrame) -> DataFrame:
     """Vectors of requested ids in request order, repeats included."""
     return requests.select("request", F.posexplode("ids").alias("pos", "id")).join(vectors, "id", "left")

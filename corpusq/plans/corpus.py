@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusq.functions import text as tx
 from corpusq.operators import corpus as cp
 from corpusq.operators import graph as gr
+from corpusq.sources.scratch import written
 from corpusq.sources.tables import table
 
 
@@ -141,9 +142,11 @@ def idx_merge(s, d):
 
 def cov_hit_rate(s, d):
     p = table(s, d, "part")
-    index = p.select(F.explode(F.split("p_type", " ")).alias("k"), F.col("p_brand").alias("b")).where("p_partkey % 2 = 0").distinct()
-    rows = p.select("p_partkey", "p_brand", F.explode(F.split("p_type", " ")).alias("k")).join(index, "k", "left")
-    return rows.groupBy("p_partkey").agg(F.max(F.coalesce((F.col("b") == F.col("p_brand")).cast("int"), F.lit(0))).alias("hit")).agg(F.round(F.avg("hit"), 6).alias("rate"))
+    rows = p.select("p_partkey", "p_brand", "p_size", F.explode(F.split("p_type", " ")).alias("k"))
+    index = rows.groupBy("k", "p_brand", "p_size").agg(F.count("*").alias("n"))
+    # a part is covered if another part holds one of its keys
+    hit = rows.join(index, ["k", "p_brand", "p_size"]).groupBy("p_partkey").agg(F.max((F.col("n") > 1).cast("int")).alias("hit"))
+    return hit.agg(F.round(F.avg("hit"), 6).alias("rate"))
 
 
 def cov_exact_match(s, d):
@@ -187,11 +190,11 @@ def str_ids(s, d):
 
 
 def str_norm_ws(s, d):
-    return _pages(s, d).select("page_id", F.md5(F.trim(F.regexp_replace("html", r"[ \t\n\r]+", " "))).alias("h"))
+    return _pages(s, d).select("page_id", F.md5(tx.norm_ws(F.col("html"))).alias("h"))
 
 
 def str_strip_comment_flat(s, d):
-    return _pages(s, d).select("page_id", F.length(F.regexp_replace("html", r"(?s)<!--.*?-->", "")).cast("long").alias("n"))
+    return _pages(s, d).select("page_id", F.md5(tx.strip_flat_comments(F.regexp_replace(F.regexp_replace("html", "<!--|<nav>", "(*"), "-->|</nav>", "*)"))).alias("plain"))
 
 
 def str_path_clean(s, d):
@@ -246,16 +249,24 @@ def str_features28(s, d):
 
 
 def str_proof_length(s, d):
-    return _turns(s, d).select("conv_id", "turn", F.size(F.filter(F.split("text", r"[.;]\s+|[.;]$"), lambda x: F.trim(x) != "")).cast("long").alias("n"))
+    return _turns(s, d).select("conv_id", "turn", tx.proof_length(F.concat(F.lit("Proof. "), "text", F.lit(" Qed."))).cast("long").alias("n"))
+
+
+def _errors(s, d):
+    """Error messages about turns: two classes at once in some, none in others."""
+    said = F.element_at(F.split("text", " "), 1)
+    kinds = [F.concat(F.lit("Unable to unify "), said, F.lit(" with x: syntax")), F.concat(F.lit("The reference "), said, F.lit(" was not found. Syntax error")),
+             F.concat(F.lit("Syntax error: "), said), F.lit("  \n"), F.concat(F.lit("No such goal "), said), F.concat(F.lit("Timeout "), said)]
+    return _turns(s, d).withColumn("message", F.element_at(F.array(*kinds), ((F.col("conv_id") * 7 + F.col("turn")) % 6 + 1).cast("int")))
 
 
 def map_errtype(s, d):
-    return _docs(s, d).groupBy(F.when(F.col("text").rlike("License"), "license").when(F.col("text").rlike("reserved"), "reserved").otherwise("other").alias("kind")).agg(F.count("*").alias("n"))
+    return _errors(s, d).select("conv_id", "turn", tx.error_class(F.col("message")).alias("kind"))
 
 
 def agg_error_taxonomy(s, d):
-    x = _docs(s, d).groupBy("lang", F.when(F.col("text").rlike("License"), "license").otherwise("other").alias("kind")).agg(F.count("*").alias("n"))
-    return x.select("lang", "kind", "n", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy("lang")), 6).alias("pct"))
+    x = _errors(s, d).groupBy("role", tx.error_class(F.col("message")).alias("kind")).agg(F.count("*").alias("n"))
+    return x.select("role", "kind", "n", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy("role")), 6).alias("pct"))
 
 
 def hash_md5_key(s, d):
@@ -286,18 +297,23 @@ def agg_constructors(s, d):
 
 
 def join_nearest_symbol(s, d):
-    names = table(s, d, "part").select(F.col("p_name").alias("a")).distinct()
-    vocab = table(s, d, "part").where("p_partkey % 10 = 0").select(F.col("p_name").alias("b")).distinct()
+    """Misspelt names and brands against all of them; a nearest name shares its first three characters, as the operator asks."""
+    whole = F.concat("p_name", F.lit(" "), F.regexp_replace("p_brand", "Brand#", ""))
+    vocab = table(s, d, "part").select(whole.alias("b")).distinct()
+    names = vocab.select(F.concat(F.substring("b", 1, 4), F.lit("q"), F.expr("substring(b, 6)")).alias("a")).distinct()
     pairs = names.withColumn("k", F.substring("a", 1, 3)).join(vocab.withColumn("k", F.substring("b", 1, 3)), "k").withColumn("d", F.levenshtein("a", "b"))
     near = pairs.where(F.col("d") <= F.greatest(F.lit(2), F.floor(F.length("a") / 3)))
     return near.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
 
 
 def join_suffix_sibling(s, d):
-    p = table(s, d, "part").select("p_partkey", "p_type", F.element_at(F.split("p_type", " "), -1).alias("head"), "p_brand")
-    a, b = p.where("p_partkey % 50 = 0"), p.select(F.col("p_partkey").alias("other"), F.col("p_type").alias("t2"), "head", F.col("p_brand").alias("b2"))
-    x = a.join(b, "head").where("p_partkey <> other").withColumn("n", tx.common_suffix(F.split("p_type", " "), F.split("t2", " ")))
-    return x.groupBy("p_partkey").agg(F.min_by("other", F.struct((-F.col("n")).alias("n"), "other")).alias("other"))
+    """Names are compared once each, by last word; parts of a name share its sibling."""
+    p = table(s, d, "part").select("p_partkey", F.concat("p_type", F.lit(" "), "p_name").alias("name"))
+    names = p.groupBy("name").agg(F.min("p_partkey").alias("other")).withColumn("head", F.element_at(F.split("name", " "), -1))
+    x = names.select("name", "head").join(names.select(F.col("name").alias("n2"), "head", "other"), "head").where("name <> n2")
+    x = x.withColumn("n", tx.common_suffix(F.split("name", " "), F.split("n2", " ")))
+    best = x.groupBy("name").agg(F.min_by("other", F.struct((-F.col("n")).alias("n"), "other")).alias("other"))
+    return p.join(best, "name").select("p_partkey", "other")
 
 
 def sort_parsed_key(s, d):
@@ -320,22 +336,27 @@ def _nodes(s, d):
 
 
 def _tree(s, d):
-    return _nodes(s, d).where("id < 1024")
+    return _nodes(s, d)
+
+
+def _depth(s, d):
+    return _nodes(s, d).agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
 
 
 def g_tree_label(s, d):
-    return gr.tree_labels(_tree(s, d), 10).select("id", "below", F.col("dist").cast("long").alias("dist"))
+    return gr.tree_labels(_tree(s, d), _depth(s, d)).select("id", "below", F.col("dist").cast("long").alias("dist"))
 
 
 def g_path_to_root(s, d):
     t = _tree(s, d)
-    return gr.paths_to_root(t, t.where("solved"), 10)
+    return gr.paths_to_root(t, t.where("solved"), _depth(s, d))
 
 
 def g_value_iteration(s, d):
     t = _tree(s, d)
     nodes = t.select("id", F.when(F.col("solved"), 1.0).alias("reward"))
-    return gr.value_iteration(nodes, t.where("parent IS NOT NULL").select(F.col("parent").alias("id"), F.col("id").alias("child")), 0.9).select("id", F.round("v", 6).alias("v"))
+    return gr.value_iteration(
+        nodes, t.where("parent IS NOT NULL").select(F.col("parent").alias("id"), F.col("id").alias("child")), 0.9, cut=lambda df: written(df, "values")).select("id", F.round("v", 6).alias("v"))
 
 
 def agg_argmax_goal(s, d):
@@ -345,13 +366,14 @@ def agg_argmax_goal(s, d):
 def g_bounded_bfs(s, d):
     t = _tree(s, d)
     edges = t.where("parent IS NOT NULL").select(F.col("parent").alias("src"), F.col("id").alias("dst"))
-    return gr.bounded_reach(t.where("id % 7 = 0").select(F.col("id").alias("start")), edges, 3).select("start", "node", F.col("steps").cast("long").alias("steps"))
+    return gr.bounded_reach(t.select(F.col("id").alias("start")), edges, 3).select("start", "node", F.col("steps").cast("long").alias("steps"))
 
 
 _LINES = "lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents)"
-_TREE = "tree AS (SELECT c_custkey AS id, CASE WHEN c_custkey > 1 THEN c_custkey // 2 END AS parent, c_acctbal > 9000 AS solved FROM customer WHERE c_custkey >= 1 AND c_custkey < 1024)"
+_TREE = "tree AS (SELECT c_custkey AS id, CASE WHEN c_custkey > 1 THEN c_custkey // 2 END AS parent, c_acctbal > 9000 AS solved FROM customer WHERE c_custkey >= 1)"
 _UP = f"WITH RECURSIVE {_TREE}, up AS (SELECT id, id AS top, 0 AS n FROM tree WHERE solved UNION ALL SELECT up.id, t.parent, n + 1 FROM up JOIN tree t ON t.id = up.top WHERE t.parent IS NOT NULL)"
 _VAL = _UP.replace("top, 0 AS n FROM tree", "top, 0 AS n FROM tree") + ", v AS (SELECT t.id, round(CASE WHEN t.solved THEN 1.0 ELSE coalesce(pow(0.9, (SELECT min(n) FROM up WHERE top = t.id)), 0.0) END, 6) AS v FROM tree t)"
+_KIND = "['unify', 'not_found', 'syntax', 'empty', 'not_found', 'other'][(conv_id * 7 + turn) % 6 + 1]"
 _HEAD = "CASE WHEN trim(t) = '' THEN '<empty>' WHEN regexp_extract(trim(t), '^[A-Za-z_][A-Za-z0-9_'']*') <> '' THEN regexp_extract(trim(t), '^[A-Za-z_][A-Za-z0-9_'']*') ELSE substring(trim(t), 1, 1) END AS head"
 
 ORACLE_SQL = {
@@ -379,7 +401,7 @@ ORACLE_SQL = {
     "idx_inverted": "SELECT key, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS brands FROM (SELECT p_brand, unnest(string_split(p_type, ' ')) AS key FROM part) GROUP BY key",
     "idx_notation_map": "SELECT key, array_to_string(list_sort(list_distinct(list(p_brand)))[1:6], ',') AS brands FROM (SELECT p_brand, unnest(string_split(p_name, ' ')) AS key FROM part) GROUP BY key",
     "idx_merge": "SELECT key, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS brands FROM (SELECT p_brand, unnest(string_split(p_type, ' ')) AS key FROM part UNION ALL SELECT p_brand, unnest(string_split(p_name, ' ')) FROM part) GROUP BY key",
-    "cov_hit_rate": "WITH k AS (SELECT p_partkey, p_brand, unnest(string_split(p_type, ' ')) AS k FROM part), ix AS (SELECT DISTINCT k, p_brand AS b FROM k WHERE p_partkey % 2 = 0) SELECT round(avg(hit), 6) AS rate FROM (SELECT p_partkey, max(CASE WHEN b = p_brand THEN 1 ELSE 0 END) AS hit FROM k LEFT JOIN ix USING (k) GROUP BY 1)",
+    "cov_hit_rate": "WITH k AS (SELECT p_partkey, p_brand, p_size, unnest(string_split(p_type, ' ')) AS k FROM part) SELECT round(avg(hit), 6) AS rate FROM (SELECT p_partkey, max(hit) AS hit FROM (SELECT p_partkey, CAST(count(*) OVER (PARTITION BY k, p_brand, p_size) > 1 AS INT) AS hit FROM k) GROUP BY 1)",
     "cov_exact_match": "SELECT count(*) FILTER (WHERE text = nx) AS strict, count(*) FILTER (WHERE trim(text, ' ') = trim(nx, ' ')) AS trimmed, count(*) FILTER (WHERE regexp_replace(text, '\\.$', '') = regexp_replace(nx, '\\.$', '')) AS dotless FROM (SELECT text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nx FROM conversations) WHERE nx IS NOT NULL",
     "flt_premise": "SELECT p_partkey FROM (SELECT *, string_split(p_type, ' ')[1] AS kind FROM part) WHERE kind <> 'PROMO' AND CASE WHEN p_brand LIKE '%Brand#1%' THEN kind <> 'SMALL' ELSE kind <> 'LARGE' END",
     "flt_admitted": "SELECT doc_id FROM documents WHERE NOT regexp_matches(string_split(text, chr(10))[-1], '(?:reserved|License)\\.$')",
@@ -389,7 +411,7 @@ ORACLE_SQL = {
     "prj_explode_steps": f"WITH {_LINES} SELECT doc_id, count(*) AS n, max(pos) AS last FROM lines GROUP BY doc_id",
     "str_ids": r"SELECT p_partkey, array_to_string(regexp_extract_all(p_type || ' (' || p_name || '):=' || p_brand, '[^\[\]\{\}\(\):=,\s]+'), '|') AS ids FROM part",
     "str_norm_ws": r"SELECT page_id, md5(trim(regexp_replace(html, '[ \t\n\r]+', ' ', 'g'), ' ')) AS h FROM pages",
-    "str_strip_comment_flat": "SELECT page_id, length(regexp_replace(html, '(?s)<!--.*?-->', '', 'g')) AS n FROM pages",
+    "str_strip_comment_flat": "SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(html, '<!--|<nav>', '(*', 'g'), '-->|</nav>', '*)', 'g'), '(?s)\\(\\*.*?\\*\\)', '', 'g')) AS plain FROM pages",
     "str_path_clean": "SELECT page_id, array_to_string(string_split(url, '/')[-2:], '/') AS path FROM pages",
     "str_tactic_head": f"SELECT conv_id, turn, {_HEAD} FROM (SELECT conv_id, turn, text AS t FROM conversations)",
     "str_head_strip_bullets": f"SELECT conv_id, turn, {_HEAD} FROM (SELECT conv_id, turn, regexp_replace('- 1. ' || text, '^[\\s\\-+*{{}}0-9:.]+', '') AS t FROM conversations)",
@@ -402,17 +424,17 @@ ORACLE_SQL = {
     "str_truncate_lines": f"WITH {_LINES} SELECT doc_id, count(*) AS lines FROM (SELECT doc_id, sum(length(line)) OVER (PARTITION BY doc_id ORDER BY pos DESC ROWS UNBOUNDED PRECEDING) AS used FROM lines) WHERE used <= 2000 GROUP BY doc_id",
     "str_pair_budget": "SELECT p_partkey, array_to_string(string_split(p_name, ' ')[1:1], ' ') || ' [SEP] ' || array_to_string(string_split(p_type, ' ')[-2:], ' ') AS pair FROM part",
     "str_features28": "SELECT conv_id, turn, length(text) AS length, len(regexp_extract_all(text, '[0-9]')) AS digits, len(regexp_extract_all(text, ',')) AS commas, len(regexp_extract_all(text, '\\(')) AS open FROM conversations",
-    "str_proof_length": "SELECT conv_id, turn, len(list_filter(regexp_split_to_array(text, '[.;]\\s+|[.;]$'), lambda x: trim(x, ' ') <> '')) AS n FROM conversations",
-    "map_errtype": "SELECT CASE WHEN contains(text, 'License') THEN 'license' WHEN contains(text, 'reserved') THEN 'reserved' ELSE 'other' END AS kind, count(*) AS n FROM documents GROUP BY 1",
-    "agg_error_taxonomy": "SELECT lang, kind, n, round(100 * n / sum(n) OVER (PARTITION BY lang), 6) AS pct FROM (SELECT lang, CASE WHEN contains(text, 'License') THEN 'license' ELSE 'other' END AS kind, count(*) AS n FROM documents GROUP BY 1, 2)",
+    "str_proof_length": "SELECT conv_id, turn, len(list_filter(regexp_split_to_array(trim(regexp_replace('Proof. ' || text || ' Qed.', '\\b(?:Proof|Qed|Defined)\\.', '', 'g'), ' '), '[.;]\\s+|[.;]$'), lambda x: trim(x, ' ') <> '')) AS n FROM conversations",
+    "map_errtype": f"SELECT conv_id, turn, {_KIND} AS kind FROM conversations",
+    "agg_error_taxonomy": f"SELECT role, kind, n, round(100 * n / sum(n) OVER (PARTITION BY role), 6) AS pct FROM (SELECT role, {_KIND} AS kind, count(*) AS n FROM conversations GROUP BY 1, 2)",
     "hash_md5_key": "SELECT doc_id, md5(doc_id || '<a>' || source || '<b>' || text) AS key FROM documents",
     "hash_sha256_file": "SELECT doc_id, sha256(text) AS sha FROM documents",
     "json_step_key": "SELECT '{\"conv_id\":' || conv_id || ',\"turn\":' || turn || '}' AS key FROM conversations",
     "json_roundtrip": "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events",
     "arr_common_suffix": "SELECT p_partkey, coalesce((SELECT min(i) FROM range(0, 1000) r(i) WHERE i < length(p_type) AND substring(reverse(p_type), i + 1, 1) <> substring(p_type, i + 1, 1)), length(p_type)) AS n FROM part",
     "agg_constructors": "SELECT name, arg_min(p_type, p_partkey) AS p_type, bool_or(p_size > 25) AS std FROM (SELECT string_split(p_name, ' ')[1] AS name, * FROM part) GROUP BY name",
-    "join_nearest_symbol": "SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY levenshtein(a, b), b) AS n FROM (SELECT DISTINCT p_name AS a FROM part) JOIN (SELECT DISTINCT p_name AS b FROM part WHERE p_partkey % 10 = 0) ON left(a, 3) = left(b, 3) AND levenshtein(a, b) <= greatest(2, length(a) // 3)) WHERE n = 1",
-    "join_suffix_sibling": "WITH p AS (SELECT p_partkey, string_split(p_type, ' ') AS t FROM part) SELECT p_partkey, other FROM (SELECT a.p_partkey, b.p_partkey AS other, row_number() OVER (PARTITION BY a.p_partkey ORDER BY CASE WHEN a.t[-1] <> b.t[-1] THEN 0 WHEN a.t[-2] <> b.t[-2] THEN 1 WHEN a.t[-3] <> b.t[-3] THEN 2 ELSE 3 END DESC, b.p_partkey) AS n FROM p a JOIN p b ON a.t[-1] = b.t[-1] AND a.p_partkey <> b.p_partkey WHERE a.p_partkey % 50 = 0) WHERE n = 1",
+    "join_nearest_symbol": "WITH v AS (SELECT DISTINCT p_name || ' ' || replace(p_brand, 'Brand#', '') AS b FROM part) SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY levenshtein(a, b), b) AS n FROM (SELECT DISTINCT substring(b, 1, 4) || 'q' || substring(b, 6) AS a FROM v) JOIN v ON left(a, 3) = left(b, 3) AND levenshtein(a, b) <= greatest(2, length(a) // 3)) WHERE n = 1",
+    "join_suffix_sibling": "WITH p AS (SELECT p_partkey, p_type || ' ' || p_name AS name, string_split(p_type || ' ' || p_name, ' ') AS t FROM part), m AS (SELECT name, any_value(t) AS t, min(p_partkey) AS other FROM p GROUP BY name), x AS (SELECT a.name, b.other, row_number() OVER (PARTITION BY a.name ORDER BY CASE WHEN a.t[-2] <> b.t[-2] THEN 1 WHEN a.t[-3] <> b.t[-3] THEN 2 ELSE 3 END DESC, b.other) AS n FROM m a JOIN m b ON a.t[-1] = b.t[-1] AND a.name <> b.name) SELECT p_partkey, other FROM p JOIN x USING (name) WHERE n = 1",
     "sort_parsed_key": "SELECT doc_id, CAST(regexp_extract(source, 'src(\\d+)', 1) AS BIGINT) AS k FROM documents ORDER BY k, doc_id",
     "top_by_max_part": "SELECT conv_id, most, dense_rank() OVER (PARTITION BY conv_id % 10 ORDER BY most DESC) AS rank FROM (SELECT conv_id, max(length(text)) AS most FROM conversations GROUP BY conv_id)",
     "preview_limit": "SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 50",
@@ -420,6 +442,6 @@ ORACLE_SQL = {
     "g_path_to_root": _UP + " SELECT DISTINCT top AS id FROM up",
     "g_value_iteration": _VAL + " SELECT * FROM v",
     "agg_argmax_goal": _VAL + " SELECT id % 10 AS goal, max(v) AS v FROM v GROUP BY 1",
-    "g_bounded_bfs": f"WITH RECURSIVE {_TREE}, r AS (SELECT id AS start, id AS node, 0 AS steps FROM tree WHERE id % 7 = 0 UNION ALL SELECT start, t.id, steps + 1 FROM r JOIN tree t ON t.parent = r.node WHERE steps < 3) SELECT start, node, CAST(min(steps) AS BIGINT) AS steps FROM r GROUP BY 1, 2",
+    "g_bounded_bfs": f"WITH RECURSIVE {_TREE}, r AS (SELECT id AS start, id AS node, 0 AS steps FROM tree UNION ALL SELECT start, t.id, steps + 1 FROM r JOIN tree t ON t.parent = r.node WHERE steps < 3) SELECT start, node, CAST(min(steps) AS BIGINT) AS steps FROM r GROUP BY 1, 2",
 }
 QUERIES = {name: globals()[name] for name in ORACLE_SQL}

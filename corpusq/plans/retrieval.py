@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusq.operators import evaluation as ev
 from corpusq.operators import retrieval as rt
 from corpusq.operators import stats
+from corpusq.operators import trajectory as tr
 from corpusq.operators import visibility as vis
 from corpusq.sources.tables import table
 
@@ -17,7 +18,7 @@ def words(c):
 
 
 def doc_terms(s, d):
-    return table(s, d, "documents").select(F.col("doc_id").alias("doc"), F.explode(words(F.col("text"))).alias("term"))
+    return table(s, d, "documents").select(F.col("doc_id").alias("doc"), "source", F.explode(words(F.col("text"))).alias("term"))
 
 
 def items(s, d):
@@ -25,7 +26,7 @@ def items(s, d):
 
 
 def query_terms(s, d):
-    return items(s, d).select("query", F.explode(words(F.col("text"))).alias("term"))
+    return items(s, d).select("query", "source", F.explode(words(F.col("text"))).alias("term"))
 
 
 def candidates(s, d):
@@ -34,7 +35,7 @@ def candidates(s, d):
 
 
 def scored(s, d):
-    x = rt.bm25(query_terms(s, d), doc_terms(s, d), candidates(s, d))
+    x = rt.bm25(query_terms(s, d), doc_terms(s, d), candidates(s, d), scope="source")
     return x.withColumn("score", F.round("score", 6))
 
 
@@ -54,7 +55,7 @@ def _bm(sql: str) -> str:
 
 
 def agg_tf(s, d):
-    return rt.term_frequencies(doc_terms(s, d)).where("tf >= 5")
+    return rt.term_frequencies(doc_terms(s, d))
 
 
 def agg_df(s, d):
@@ -84,7 +85,7 @@ def math_aug_tf(s, d):
 
 
 def join_scores_postings(s, d):
-    q = query_terms(s, d).distinct()
+    q = query_terms(s, d).select("query", "term").distinct()
     return q.join(rt.term_frequencies(doc_terms(s, d)), "term").groupBy("query").agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"))
 
 
@@ -93,7 +94,7 @@ def q_bm25(s, d):
 
 
 def q_tfidf(s, d):
-    x = rt.tfidf(query_terms(s, d), doc_terms(s, d), candidates(s, d)).withColumn("score", F.round("score", 6))
+    x = rt.tfidf(query_terms(s, d), doc_terms(s, d), candidates(s, d), scope="source").withColumn("score", F.round("score", 6))
     return rt.top_k(x, 10)
 
 
@@ -257,7 +258,12 @@ def q_dense_premises(s, d):
 
 
 def q_dense_proofs(s, d):
-    return _dense(s, d, rt.cosine(F.col("qv"), F.col("v")))
+    """Vectors are steps; three in a row are a proof, and proofs of one number modulo 500 have one text."""
+    e = table(s, d, "embeddings")
+    q = e.where("vec_id % 100 = 0").select("label", F.col("vec_id").alias("query"), F.col("embedding").alias("qv"))
+    text = F.concat(F.lit("proof "), (F.floor(F.col("vec_id") / 3) % 500).cast("string"))
+    docs = e.select("label", F.col("vec_id").alias("ordinal"), F.col("embedding").alias("v"), text.alias("proof"))
+    return rt.dense_groups(q, docs, ["label"], "proof", 5, F.round(rt.cosine(F.col("qv"), F.col("v")), 6)).select("query", "proof", "ordinal", "score", "rank")
 
 
 def vec_dot(s, d):
@@ -265,13 +271,13 @@ def vec_dot(s, d):
 
 
 def win_prefix_concat(s, d):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    return _turns(s, d).select("conv_id", "turn", F.md5(F.concat_ws("|", F.collect_list("text").over(w))).alias("prefix"))
+    t = _turns(s, d).withColumn("i", F.col("turn"))
+    return t.select("conv_id", "turn", F.md5(tr.prefix_text("text", "conv_id", "|")).alias("prefix"))
 
 
 def win_suffix_list(s, d):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(0, Window.unboundedFollowing)
-    return _turns(s, d).select("conv_id", "turn", F.array_join(F.collect_list("role").over(w), ",").alias("rest"))
+    t = _turns(s, d).withColumn("i", F.col("turn"))
+    return t.select("conv_id", "turn", F.array_join(tr.suffix_list("role", "conv_id"), ",").alias("rest"))
 
 
 def _budget(s, d, order):
@@ -295,7 +301,7 @@ def q_prev_proof_recs(s, d):
 
 
 def label_matrix(s, d):
-    e = table(s, d, "embeddings").where("vec_id < 64").select("vec_id", "label", F.floor(F.col("vec_id") / 8).alias("batch"))
+    e = table(s, d, "embeddings").select("vec_id", "label", F.floor(F.col("vec_id") / 8).alias("batch"))
     a, b = e.select("batch", F.col("vec_id").alias("row"), F.col("label").alias("x")), e.select("batch", F.col("vec_id").alias("col"), F.col("label").alias("y"))
     return a.join(b, "batch").select("row", "col", (F.col("x") == F.col("y")).alias("same"))
 
@@ -314,7 +320,7 @@ _BUD = "SELECT conv_id, count(*) AS n, min(turn) AS first, max(turn) AS last FRO
 _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE)))"
 
 ORACLE_SQL = {
-    "agg_tf": f"WITH {TOK} SELECT doc, term, count(*) AS tf FROM tok GROUP BY 1, 2 HAVING count(*) >= 5",
+    "agg_tf": f"WITH {TOK} SELECT doc, term, count(*) AS tf FROM tok GROUP BY 1, 2",
     "agg_df": f"WITH {TOK} SELECT term, count(DISTINCT doc) AS df FROM tok GROUP BY term",
     "agg_avg_len": f"WITH {TOK}, {CAND}, len AS (SELECT doc, count(*) AS len FROM tok GROUP BY doc) SELECT query, round(avg(coalesce(len, 0)), 6) AS avg_len FROM cand LEFT JOIN len USING (doc) GROUP BY query",
     "math_idf_plain": f"WITH {TOK} SELECT term, round(ln((SELECT count(*) FROM documents) / count(DISTINCT doc)), 6) AS idf FROM tok GROUP BY term",
@@ -350,13 +356,13 @@ ORACLE_SQL = {
     "join_cache_lookup": "SELECT labels.doc_id IS NOT NULL AS cached, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1",
     "vec_page_read": "SELECT item_id AS request, p AS pos, i AS id, round(CAST(embedding[1] AS DOUBLE), 6) AS x FROM (SELECT item_id, unnest([0, 1, 2, 3]) AS p, unnest([item_id, item_id + 1, item_id, 3]) AS i FROM benchmark) LEFT JOIN embeddings ON vec_id = i",
     "q_dense_premises": _DENSE.format(score=_DOT.format(a="a.embedding", b="b.embedding")),
-    "q_dense_proofs": _DENSE.format(score=_DOT.format(a="a.embedding", b="b.embedding") + " / (sqrt(" + _DOT.format(a="a.embedding", b="a.embedding") + ") * sqrt(" + _DOT.format(a="b.embedding", b="b.embedding") + "))"),
+    "q_dense_proofs": "SELECT query, proof, ordinal, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, ordinal) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query, proof ORDER BY score DESC, ordinal) AS n FROM (SELECT a.vec_id AS query, 'proof ' || (b.vec_id // 3) % 500 AS proof, b.vec_id AS ordinal, round(" + _DOT.format(a="a.embedding", b="b.embedding") + " / (sqrt(" + _DOT.format(a="a.embedding", b="a.embedding") + ") * sqrt(" + _DOT.format(a="b.embedding", b="b.embedding") + ")), 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 100 = 0)) WHERE n = 1 QUALIFY rank <= 5",
     "vec_dot": "SELECT vec_id, round(" + _DOT.format(a="embedding", b="embedding") + ", 5) AS dot FROM embeddings",
     "win_prefix_concat": "SELECT conv_id, turn, md5(coalesce(string_agg(text, '|') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '')) AS prefix FROM conversations",
     "win_suffix_list": "SELECT conv_id, turn, string_agg(role, ',') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM conversations",
     "win_token_budget": _BUD.format(o=""),
     "win_prev_lines": _BUD.format(o="DESC"),
     "q_prev_proof_recs": "SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM (SELECT conv_id, text, min(turn) AS turn FROM conversations GROUP BY 1, 2)) WHERE k <= 2",
-    "label_matrix": "SELECT a.vec_id AS row, b.vec_id AS col, a.label = b.label AS same FROM embeddings a JOIN embeddings b ON a.vec_id // 8 = b.vec_id // 8 WHERE a.vec_id < 64 AND b.vec_id < 64",
+    "label_matrix": "SELECT a.vec_id AS row, b.vec_id AS col, a.label = b.label AS same FROM embeddings a JOIN embeddings b ON a.vec_id // 8 = b.vec_id // 8",
 }
 QUERIES = {name: globals()[name] for name in ORACLE_SQL}

@@ -130,8 +130,9 @@ def hash_fingerprint(s, d):
 
 
 def sq_file_queue(s, d):
-    waiting = table(s, d, "orders").where("o_orderstatus = 'O'")
-    return cp.first_per(waiting, ["o_orderpriority"], "o_orderdate", "o_orderkey").select("o_orderpriority", "o_orderkey")
+    e = table(s, d, "events").select((F.col("user_id") % 10).alias("queue"), "ts", "event_id", "event_type")
+    x = cp.fifo(e, "queue", ["ts", "event_id"], F.col("event_type") == "purchase", F.col("event_type") == "click")
+    return x.select("event_id", F.col("item.event_id").alias("item"))
 
 
 def sort_frontier(s, d):
@@ -164,8 +165,13 @@ ORACLE_SQL = {
     "flt_pairs": "SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')) WHERE n = 1",
     "flt_range_dep": "SELECT l_orderkey, CASE WHEN d <= 2 THEN '1-2' ELSE '3-' END AS range FROM (SELECT l_orderkey, count(DISTINCT l_suppkey) - 1 AS d FROM lineitem GROUP BY 1) WHERE d >= 1",
     "hash_fingerprint": "SELECT p_brand, md5(string_agg(h, ',' ORDER BY h)) AS print FROM (SELECT p_brand, md5(p_partkey || '|' || p_name) AS h FROM part) GROUP BY p_brand",
-    "sq_file_queue": "SELECT o_orderpriority, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS n FROM orders WHERE o_orderstatus = 'O') WHERE n = 1",
-    "sort_frontier": "SELECT query, ordinal, rank FROM (SELECT c_custkey % 5 AS query, c_custkey AS ordinal, row_number() OVER (PARTITION BY c_custkey % 5 ORDER BY floor(log2(c_custkey)), c_custkey) AS rank FROM customer WHERE c_custkey BETWEEN 1 AND 1023 AND NOT c_acctbal > 9000) WHERE rank <= 10",
+    "sq_file_queue": """WITH RECURSIVE e AS (SELECT user_id % 10 AS q, event_id, event_type, row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) AS i FROM events WHERE event_type IN ('purchase', 'click')),
+ r AS (SELECT DISTINCT q, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS puts, CAST(0 AS BIGINT) AS gets, CAST(NULL AS BIGINT) AS taken FROM e
+  UNION ALL SELECT r.q, e.i, puts + CAST(event_type = 'purchase' AS INT), gets + CAST(event_type = 'click' AND gets < puts AS INT), CASE WHEN event_type = 'click' AND gets < puts THEN gets + 1 END
+  FROM r JOIN e ON e.q = r.q AND e.i = r.i + 1),
+ p AS (SELECT q, event_id, row_number() OVER (PARTITION BY q ORDER BY i) AS n FROM e WHERE event_type = 'purchase')
+ SELECT e.event_id, p.event_id AS item FROM e JOIN r ON e.q = r.q AND e.i = r.i LEFT JOIN p ON p.q = e.q AND p.n = r.taken WHERE e.event_type = 'click'""",
+    "sort_frontier": "SELECT query, ordinal, rank FROM (SELECT c_custkey % 5 AS query, c_custkey AS ordinal, row_number() OVER (PARTITION BY c_custkey % 5 ORDER BY floor(log2(c_custkey)), c_custkey) AS rank FROM customer WHERE c_custkey >= 1 AND NOT c_acctbal > 9000) WHERE rank <= 10",
     "vec_lstsq": "SELECT * FROM (VALUES (CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(2.0 AS DOUBLE)), (0, 1, 1.0), (1, 0, 3.0), (1, 1, -1.0)) AS t(i, j, v)",
 }
 QUERIES = {name: globals()[name] for name in ORACLE_SQL}

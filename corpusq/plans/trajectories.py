@@ -168,8 +168,7 @@ def cur_first_n_split(s, d):
 
 
 def join_dpo_pairs(s, d):
-    x = steps(s, d).where("i < 6").withColumn("a", (F.col("v") % 13).cast("string")).withColumn("at", F.concat("act", F.lit("/"), (F.col("user_id") % 40).cast("string")))
-    return tr.dpo_pairs(x, "at", "a", F.col("success"))
+    return tr.dpo_pairs(steps(s, d).withColumn("a", F.col("v").cast("string")), "state", "a", F.col("success"))
 
 
 def join_dpo_capped(s, d):
@@ -181,8 +180,8 @@ def build_sft(s, d):
 
 
 def join_divergence(s, d):
-    x = steps(s, d)
-    return tr.divergence(x, x.where("success AND i < 3 AND v % 7 < 5"), "user_id", "state")
+    x = steps(s, d).withColumn("exact", F.concat("act", F.lit("/"), F.col("v").cast("string")))
+    return tr.divergence(x, x.where("success"), "user_id", "exact")
 
 
 def traj_dedup_in_state(s, d):
@@ -298,7 +297,7 @@ def math_linear_score(s, d):
 
 def math_backup(s, d):
     arr = F.collect_list(F.col("goals") / 4 + 0.25)
-    x = steps(s, d).where("i < 5").groupBy("user_id").agg(arr.alias("g"))
+    x = steps(s, d).groupBy("user_id").agg(arr.alias("g"))
     one = F.lit(1.0)
     return x.select("user_id", _r(F.aggregate("g", one, lambda a, v: a * v), "product"), _r(F.aggregate("g", F.lit(0.0), lambda a, v: a + v), "total"), _r(F.array_min("g"), "least"))
 
@@ -341,10 +340,10 @@ ORACLE_SQL = {
     "cur_until_first": _with("SELECT event_id FROM (SELECT *, min(CASE WHEN kind = 'COMPLETE' THEN i END) OVER (PARTITION BY user_id) AS f FROM steps) WHERE f IS NULL OR i <= f"),
     "cur_opening_span": _with("SELECT DISTINCT user_id, (SELECT string_agg(b.act, ' ' ORDER BY b.i) FROM steps b WHERE b.user_id = a.user_id AND b.i BETWEEN a.low AND a.i) AS span FROM (SELECT *, coalesce(max(CASE WHEN act NOT IN ('view', 'click') THEN i END) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) + 1 AS low FROM steps) a WHERE goals = 3"),
     "cur_first_n_split": "SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY event_type ORDER BY event_id) <= 100 THEN 'first' ELSE 'rest' END AS part FROM events",
-    "join_dpo_pairs": _with("SELECT a.at, a.a AS chosen, b.a AS rejected FROM (SELECT DISTINCT at, a FROM x WHERE success) a JOIN (SELECT at, a FROM x WHERE NOT success EXCEPT SELECT at, a FROM x WHERE success) b ON a.at = b.at", "x AS (SELECT *, act || '/' || CAST(user_id % 40 AS VARCHAR) AS at, CAST(v % 13 AS VARCHAR) AS a FROM steps WHERE i < 6)"),
+    "join_dpo_pairs": _with("SELECT a.state, a.a AS chosen, b.a AS rejected FROM (SELECT DISTINCT state, a FROM x WHERE success) a JOIN (SELECT state, a FROM x WHERE NOT success EXCEPT SELECT state, a FROM x WHERE success) b ON a.state = b.state", "x AS (SELECT *, CAST(v AS VARCHAR) AS a FROM steps)"),
     "join_dpo_capped": _with("SELECT state, chosen, rejected FROM (SELECT a.state, a.kind AS chosen, b.kind AS rejected, row_number() OVER (PARTITION BY a.state ORDER BY a.kind, b.kind) AS nth FROM (SELECT DISTINCT state, kind FROM steps WHERE kind = 'VALID') a JOIN (SELECT DISTINCT state, kind FROM steps WHERE kind <> 'VALID') b ON a.state = b.state) WHERE nth <= 2"),
     "build_sft": _with("SELECT DISTINCT state, act FROM steps WHERE success"),
-    "join_divergence": _with("SELECT user_id, max(i) AS last, min(off) AS off FROM (SELECT *, min(CASE WHEN NOT ok THEN i END) OVER (PARTITION BY user_id) AS off FROM (SELECT *, state IN (SELECT state FROM steps WHERE success AND i < 3 AND v % 7 < 5) AS ok FROM steps)) WHERE ok AND i < off GROUP BY user_id"),
+    "join_divergence": _with("SELECT user_id, max(i) AS last, min(off) AS off FROM (SELECT *, min(CASE WHEN NOT ok THEN i END) OVER (PARTITION BY user_id) AS off FROM (SELECT *, (act || '/' || v) IN (SELECT act || '/' || v FROM steps WHERE success) AS ok FROM steps)) WHERE ok AND i < off GROUP BY user_id"),
     "traj_dedup_in_state": _with(_NTH.format(more="", over="PARTITION BY user_id, act, goals ORDER BY i")),
     "traj_subgoal_reward": _with(f"SELECT event_id, CAST(goals < first_value(goals) {UP} AS INT) AS reward FROM steps"),
     "traj_shaped_reward": _with("SELECT user_id, round(CASE WHEN s THEN 1.0 ELSE 0.5 * coalesce(value, 0) END, 6) AS reward FROM (SELECT user_id, bool_and(success) AS s, arg_max(state, i) FILTER (WHERE kind = 'VALID') AS state FROM steps GROUP BY user_id) LEFT JOIN vals USING (state)", VALUES),
@@ -368,7 +367,7 @@ ORACLE_SQL = {
     "math_blend_score": _with("SELECT event_id, round(0.3 * goals / 4 + 0.7 * exp(-v / 10 / (i + 1)), 6) AS score FROM steps"),
     "math_gamma_dist": _with("SELECT event_id, round(pow(0.95, count(*) OVER (PARTITION BY user_id) - i - 1), 6) AS target FROM steps"),
     "math_linear_score": _with("SELECT event_id, round((v - 50) / 25 * 0.3 - (goals - 1.5) / 1.1 * 0.2, 6) AS score FROM steps"),
-    "math_backup": _with("SELECT user_id, round(product(goals / 4 + 0.25), 6) AS product, round(sum(goals / 4 + 0.25), 6) AS total, round(min(goals / 4 + 0.25), 6) AS least FROM steps WHERE i < 5 GROUP BY user_id"),
+    "math_backup": _with("SELECT user_id, round(product(goals / 4 + 0.25), 6) AS product, round(sum(goals / 4 + 0.25), 6) AS total, round(min(goals / 4 + 0.25), 6) AS least FROM steps GROUP BY user_id"),
     "agg_token_kl": _with("SELECT round(avg(m), 6) AS kl FROM (SELECT user_id, avg(v - goals) AS m FROM steps WHERE kind <> 'INVALID' GROUP BY user_id)"),
 }
 QUERIES = {name: globals()[name] for name in ORACLE_SQL}
