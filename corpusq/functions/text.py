@@ -129,14 +129,40 @@ def error_class(text: Column) -> Column:
     return out
 
 
-def features(text: Column) -> dict[str, Column]:
-    """Counts over a goal: length, tokens, lines, quantifiers, arrows, operators, brackets, digits and so on."""
-    patterns = {
-        "tokens": r"\S+", "names": r"[A-Za-z_][A-Za-z0-9_']*", "capitals": r"\b[A-Z]", "digits": r"[0-9]", "numbers": r"[0-9]+", "forall": r"\bforall\b",
-        "exists": r"\bexists\b", "fun": r"\bfun\b", "match": r"\bmatch\b", "let": r"\blet\b", "if": r"\bif\b", "arrows": r"->", "iff": r"<->", "and": r"/\\",
-        "or": r"\\/", "not": r"~", "eq": r"=", "neq": r"<>", "le": r"<=", "lt": r"<", "plus": r"\+", "minus": r"-", "times": r"\*", "open": r"\(", "square": r"\[",
-        "commas": r",", "colons": r":"}
-    return {"length": F.length(text)} | {k: F.regexp_count(text, F.lit(p)) for k, p in patterns.items()}
+# Operators that features count, as substrings.
+LOGIC, COMPARISONS = ("/\\", "\\/", "<->", "~"), ("<=", ">=", "<>", "=", "<", ">")
+# Patterns of features.
+TOKEN, BRANCHING = r"[A-Za-z_][A-Za-z0-9_']*|[^\sA-Za-z0-9]", r"\bmatch\b|\bfix\b|\blet\b"
+COLLECTIONS = r"\b(?:Map|Maps|PTree|PMap|ZMap|Set|list|option|nat|Z|positive)\b"
+
+
+def features(statement: Column, hyps: Column, goal: Column) -> dict[str, Column]:
+    """28 counts of a statement and of the goal and hypotheses that introducing its premises leaves."""
+    def found(c: Column, pattern: str) -> Column:
+        return F.regexp_count(c, F.lit(pattern))
+
+    def holds(c: Column, parts: tuple[str, ...]) -> Column:
+        return sum((found(c, "\\Q" + p + "\\E") for p in parts[1:]), found(c, "\\Q" + parts[0] + "\\E"))
+
+    def total(f, start=0) -> Column:
+        return F.aggregate(hyps, F.lit(start), lambda s, h: s + f(h))
+
+    def most(f) -> Column:
+        return F.coalesce(F.array_max(F.transform(hyps, f)), F.lit(0))
+
+    out = {
+        "num_goals": F.lit(1), "goal_len": F.length(goal), "goal_tok_count": found(goal, TOKEN), "forall_left": found(goal, "forall"),
+        "goal_arrow": found(goal, "->"), "goal_logic_ops": holds(goal, LOGIC), "cmp_ops": holds(goal, COMPARISONS),
+        "is_contra_goal": F.trim(goal).isin("False", "False.").cast("int"), "num_hyps": F.size(hyps), "hyp_total_len": total(F.length),
+        "hyp_len_avg": F.coalesce(total(F.length) / F.nullif(F.size(hyps), F.lit(0)), F.lit(0.0)), "hyp_len_max": most(F.length),
+        "hyp_tok_count_total": total(lambda h: found(h, TOKEN)), "hyp_tok_count_max": most(lambda h: found(h, TOKEN)),
+        "hyp_logic_ops_total": total(lambda h: holds(h, LOGIC)), "match_fix_let": found(goal, BRANCHING), "mapset_tokens": found(goal, COLLECTIONS),
+        "goal_exists": found(goal, "exists"), "hyp_forall_total": total(lambda h: found(h, "forall")),
+        "stmt_len": F.length(statement), "stmt_tok_count": found(statement, TOKEN), "stmt_forall": found(statement, "forall"),
+        "stmt_exists": found(statement, "exists"), "stmt_arrow": found(statement, "->"), "stmt_logic_ops": holds(statement, LOGIC),
+        "stmt_cmp_ops": holds(statement, COMPARISONS), "stmt_match_fix_let": found(statement, BRANCHING),
+        "stmt_is_eq_goal": statement.rlike(r"(?:^|\s)@?eq\b|=").cast("int")}
+    return {k: c.cast("double").alias(k) for k, c in out.items()}
 
 
 def first_tokens(text: Column, n: int) -> Column:

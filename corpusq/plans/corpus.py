@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from corpusq.functions import arrow
 from corpusq.functions import text as tx
 from corpusq.operators import corpus as cp
 from corpusq.operators import graph as gr
@@ -243,9 +244,26 @@ def str_pair_budget(s, d):
     return table(s, d, "part").select("p_partkey", tx.pair_budget(F.col("p_name"), F.col("p_type"), 3).alias("pair"))
 
 
+def _first(c):
+    return F.element_at(F.split(c, " "), 1)
+
+
+def _second(c):
+    return F.element_at(F.split(c, " "), 2)
+
+
 def str_features28(s, d):
-    f = tx.features(F.col("text"))
-    return _turns(s, d).select("conv_id", "turn", *[f[k].cast("long").alias(k) for k in ("length", "digits", "commas", "open")])
+    """Statements of four shapes made of parts."""
+    a, b, t = _first("p_name"), _second("p_name"), F.col("p_type")
+    shapes = [
+        F.concat(F.lit("forall "), a, F.lit(" "), b, F.lit(" : "), t, F.lit(", ("), a, F.lit(" -> "), b, F.lit(") -> "), a, F.lit(" <= "), b, F.lit(" -> ~ "), "p_brand", F.lit(" /\\ "), a),
+        F.concat(F.lit("exists "), a, F.lit(", "), t, F.lit(" = "), b, F.lit(" \\/ [x -> y] <-> False.")),
+        F.concat(t, F.lit(" >= "), b, F.lit(" -> (forall q, "), a, F.lit(") -> False.")),
+        F.concat(F.lit("forall x, forall y, let n := "), a, F.lit(" in list nat <> "), b),
+    ]
+    rows = table(s, d, "part").withColumn("st", F.element_at(F.array(*shapes), (F.col("p_partkey") % 4 + 1).cast("int")))
+    rows = rows.select("p_partkey", "st", arrow.introductions(F.col("st")).alias("i"))
+    return rows.select("p_partkey", *tx.features(F.col("st"), F.col("i.hyps"), F.col("i.goal")).values())
 
 
 def str_proof_length(s, d):
@@ -374,6 +392,34 @@ _TREE = "tree AS (SELECT c_custkey AS id, CASE WHEN c_custkey > 1 THEN c_custkey
 _UP = f"WITH RECURSIVE {_TREE}, up AS (SELECT id, id AS top, 0 AS n FROM tree WHERE solved UNION ALL SELECT up.id, t.parent, n + 1 FROM up JOIN tree t ON t.id = up.top WHERE t.parent IS NOT NULL)"
 _VAL = _UP.replace("top, 0 AS n FROM tree", "top, 0 AS n FROM tree") + ", v AS (SELECT t.id, round(CASE WHEN t.solved THEN 1.0 ELSE coalesce(pow(0.9, (SELECT min(n) FROM up WHERE top = t.id)), 0.0) END, 6) AS v FROM tree t)"
 _KIND = "['unify', 'not_found', 'syntax', 'empty', 'not_found', 'other'][(conv_id * 7 + turn) % 6 + 1]"
+_F_SHAPES = """w AS (SELECT *, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[2] AS b, p_type AS t FROM part),
+ st AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'forall ' || a || ' ' || b || ' : ' || t || ', (' || a || ' -> ' || b || ') -> ' || a || ' <= ' || b || ' -> ~ ' || p_brand || ' /\\ ' || a
+  WHEN 1 THEN 'exists ' || a || ', ' || t || ' = ' || b || ' \\/ [x -> y] <-> False.' WHEN 2 THEN t || ' >= ' || b || ' -> (forall q, ' || a || ') -> False.' ELSE 'forall x, forall y, let n := ' || a || ' in list nat <> ' || b END AS st,
+  CASE p_partkey % 4 WHEN 0 THEN [a || ' ' || b || ' : ' || t, '(' || a || ' -> ' || b || ')', a || ' <= ' || b] WHEN 1 THEN ['exists ' || a || ', ' || t || ' = ' || b || ' \\/ [x -> y] <'] WHEN 2 THEN [t || ' >= ' || b, '(forall q, ' || a || ')'] ELSE ['x', 'y'] END AS hyps,
+  CASE p_partkey % 4 WHEN 0 THEN '~ ' || p_brand || ' /\\ ' || a WHEN 1 THEN 'False' WHEN 2 THEN 'False' ELSE 'let n := ' || a || ' in list nat <> ' || b END AS goal FROM w)"""
+
+
+def _n(c, *parts):
+    """How often substrings stand in a column, in SQL."""
+    return "(" + " + ".join(f"len(string_split({c}, '{p}')) - 1" for p in parts) + ")"
+
+
+def _m(c, pattern):
+    return f"len(regexp_extract_all({c}, '{pattern}'))"
+
+
+_F_TOKEN, _F_LET = "[A-Za-z_][A-Za-z0-9_'']*|[^\\sA-Za-z0-9]", "\\b(?:match|fix|let)\\b"
+_F_LOGIC, _F_CMP = ("/\\", "\\/", "<->", "~"), ("<=", ">=", "<>", "=", "<", ">")
+_F_COLUMNS = {
+    "num_goals": "1", "goal_len": "length(goal)", "goal_tok_count": _m("goal", _F_TOKEN), "forall_left": _n("goal", "forall"), "goal_arrow": _n("goal", "->"), "goal_logic_ops": _n("goal", *_F_LOGIC),
+    "cmp_ops": _n("goal", *_F_CMP), "is_contra_goal": "CAST(goal = 'False' AS INT)", "num_hyps": "len(hyps)", "hyp_total_len": "length(array_to_string(hyps, ''))",
+    "hyp_len_avg": "coalesce(list_avg(list_transform(hyps, lambda h: length(h))), 0)", "hyp_len_max": "coalesce(list_max(list_transform(hyps, lambda h: length(h))), 0)",
+    "hyp_tok_count_total": "coalesce(list_sum(list_transform(hyps, lambda h: " + _m("h", _F_TOKEN) + ")), 0)", "hyp_tok_count_max": "coalesce(list_max(list_transform(hyps, lambda h: " + _m("h", _F_TOKEN) + ")), 0)",
+    "hyp_logic_ops_total": "coalesce(list_sum(list_transform(hyps, lambda h: " + _n("h", *_F_LOGIC) + ")), 0)", "match_fix_let": _m("goal", _F_LET),
+    "mapset_tokens": _m("goal", "\\b(?:Map|Maps|PTree|PMap|ZMap|Set|list|option|nat|Z|positive)\\b"), "goal_exists": _n("goal", "exists"), "hyp_forall_total": _n("array_to_string(hyps, ' ')", "forall"),
+    "stmt_len": "length(st)", "stmt_tok_count": _m("st", _F_TOKEN), "stmt_forall": _n("st", "forall"), "stmt_exists": _n("st", "exists"), "stmt_arrow": _n("st", "->"), "stmt_logic_ops": _n("st", *_F_LOGIC),
+    "stmt_cmp_ops": _n("st", *_F_CMP), "stmt_match_fix_let": _m("st", _F_LET), "stmt_is_eq_goal": "CAST(contains(st, '=') AS INT)"}
+_FEATURES = f"WITH {_F_SHAPES} SELECT p_partkey, " + ", ".join(f"CAST({e} AS DOUBLE) AS {k}" for k, e in _F_COLUMNS.items()) + " FROM st"
 _HEAD = "CASE WHEN trim(t) = '' THEN '<empty>' WHEN regexp_extract(trim(t), '^[A-Za-z_][A-Za-z0-9_'']*') <> '' THEN regexp_extract(trim(t), '^[A-Za-z_][A-Za-z0-9_'']*') ELSE substring(trim(t), 1, 1) END AS head"
 
 ORACLE_SQL = {
@@ -423,7 +469,7 @@ ORACLE_SQL = {
     "str_truncate_tokens": "SELECT conv_id, turn, array_to_string(string_split(text, ' ')[1:4], ' ') AS head, array_to_string(string_split(text, ' ')[-4:], ' ') AS tail FROM conversations",
     "str_truncate_lines": f"WITH {_LINES} SELECT doc_id, count(*) AS lines FROM (SELECT doc_id, sum(length(line)) OVER (PARTITION BY doc_id ORDER BY pos DESC ROWS UNBOUNDED PRECEDING) AS used FROM lines) WHERE used <= 2000 GROUP BY doc_id",
     "str_pair_budget": "SELECT p_partkey, array_to_string(string_split(p_name, ' ')[1:1], ' ') || ' [SEP] ' || array_to_string(string_split(p_type, ' ')[-2:], ' ') AS pair FROM part",
-    "str_features28": "SELECT conv_id, turn, length(text) AS length, len(regexp_extract_all(text, '[0-9]')) AS digits, len(regexp_extract_all(text, ',')) AS commas, len(regexp_extract_all(text, '\\(')) AS open FROM conversations",
+    "str_features28": _FEATURES,
     "str_proof_length": "SELECT conv_id, turn, len(list_filter(regexp_split_to_array(trim(regexp_replace('Proof. ' || text || ' Qed.', '\\b(?:Proof|Qed|Defined)\\.', '', 'g'), ' '), '[.;]\\s+|[.;]$'), lambda x: trim(x, ' ') <> '')) AS n FROM conversations",
     "map_errtype": f"SELECT conv_id, turn, {_KIND} AS kind FROM conversations",
     "agg_error_taxonomy": f"SELECT role, kind, n, round(100 * n / sum(n) OVER (PARTITION BY role), 6) AS pct FROM (SELECT role, {_KIND} AS kind, count(*) AS n FROM conversations GROUP BY 1, 2)",

@@ -89,7 +89,13 @@ def test_strings(spark):
     assert arrow.without_comments('a (* b (* c *) d *) "(* e *)"') == 'a  "(* e *)"'
     assert arrow.conclusion("(a -> b) -> c -> d") == "d" and arrow.conclusion("(a -> b)") == "(a -> b)"
     assert arrow.renamed("foo foo' x", arrow.renaming("lemma foo x", "lemma bar x")) == "bar foo' x"
-    assert arrow.alpha_equivalent("f x y", "f a b") and not arrow.alpha_equivalent("f x x", "f a b")
+    assert arrow.covers(["x y: T"], "f x y", ["a b: T"], "f a b") and not arrow.covers(["x: T"], "f x x", ["a b: T"], "f a b")
+    chain, back = ["a, b, c: T", "h: a = b", "i: b < a", "j: b = c"], ["a, b, c: T", "h: b = c", "i: b < a", "j: a = b"]
+    assert arrow.covers(chain, "False", back, "False") and not arrow.covers(chain, "False", back[:3], "False")
+    assert arrow.covers([], "forall x, (forall y, x = y) -> x = z", [], "forall u, (forall v, u = v) -> u = z")
+    assert not arrow.covers([], "(forall y, y = y) -> y = z", [], "(forall v, v = v) -> v = z")
+    assert arrow.introduced("forall x y, x = y -> (a -> b) -> forall z, P z.") == (["x y", "x = y", "(a -> b)", "z"], "P z")
+    assert arrow.rename_variants([("Vint", "Vlong")])["module"] == [("Vint", "Vlong"), ("Int.", "Int64.")]
 
 
 def test_joint_results(spark):
@@ -164,3 +170,10 @@ def test_frontier_takes_all_nodes(spark, tmp_path):
     spark.createDataFrame(rows, "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
     got = [(r.query, r.rank, r.ordinal) for r in storage.sort_frontier(spark, str(tmp_path)).collect()]
     assert sorted(got) == [(q, n, 1024 + (q - 1024) % 5 + 5 * (n - 1)) for q in range(5) for n in range(1, 11)]
+
+
+def test_fifo_takes_each_item_once(spark):
+    rows = [(1, "g"), (2, "p"), (3, "p"), (4, "g"), (5, "g"), (6, "g"), (7, "p"), (8, "p"), (9, "g"), (10, "p")]
+    events = spark.createDataFrame([(q, *r) for q in (1, 2) for r in rows], "queue int, at int, what string")
+    got = corpus.fifo(events, "queue", ["at"], F.col("what") == "p", F.col("what") == "g").collect()
+    assert {(r.queue, r.at): r.item and r.item["at"] for r in got} == {(q, at): item for q in (1, 2) for at, item in ((1, None), (4, 2), (5, 3), (6, None), (9, 7))}
