@@ -89,6 +89,8 @@ NOTICES = {
     "proprietary and confidential": "proprietary",
 }
 ERROR_RATE = 0.1
+#: Searched windows that a task remembers; notices repeat from text to text.
+SEEN = 50_000
 
 _WORD = np.zeros(256, dtype=bool)
 _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
@@ -128,6 +130,7 @@ class Scanner:
         for piece, places in seeds.items():
             self.seeds.add_word(piece, (len(piece), places))
         self.seeds.make_automaton()
+        self.seen: dict[tuple[int, str], tuple[int, int, int] | None] = {}
 
     def phrases(self, raw: bytes) -> list[tuple[int, str]]:
         """Byte start and label of each place of a base phrase."""
@@ -148,14 +151,21 @@ class Scanner:
         for i, starts in begins.items():
             n, _, k, pattern = self.notices[i]
             for at in starts:
-                m = pattern.search(words, max(0, at - k), at + len(n) + k)
-                if m:
-                    start, end = m.span()
+                low = max(0, at - k)
+                window = words[low : at + len(n) + k]
+                if (i, window) not in self.seen:
+                    m = pattern.search(window)
+                    self.seen[i, window] = m and (*m.span(), sum(m.fuzzy_counts))
+                match = self.seen[i, window]
+                if match:
+                    start, end = match[0] + low, match[1] + low
                     while start < end and words[start] == " ":
                         start += 1
                     while end > start and words[end - 1] == " ":
                         end -= 1
-                    found.add((i, start, end, sum(m.fuzzy_counts)))
+                    found.add((i, start, end, match[2]))
+        if len(self.seen) > SEEN:
+            self.seen.clear()
         return sorted(found)
 
     def fuzzy(self, raw: bytes) -> list[tuple[str, int, int, int, float]]:
