@@ -19,7 +19,7 @@ is trained again.  A linear machine on landmark features is one weight for each
 triple, which is all that the workers get.  A logistic scale over a document's
 three worst windows makes the score.
 
-Only the fit is bounded: FIT_ROWS labelled documents, CANDIDATES words and as many
+Only the fit is bounded: words of three letters or more, FIT_ROWS labelled documents, CANDIDATES words and as many
 runs looked at as first positives, NEGATIVES words drawn and as many hard windows
 added in each of ROUNDS rounds, LANDMARKS landmarks.
 """
@@ -311,7 +311,7 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each document's distinct marked words, parts of longer ones, and word beginnings of 4 to 7 characters."""
     for batch in batches:
         for i, y, t in zip(batch.column("doc_id").to_pylist(), batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            words = words_of(t or "")
+            words = [w for w in words_of(t or "") if len(w) > 2]
             out = [*{p for w in words for p in windows(w)}, *{f"^{w[:n]}" for w in words for n in range(4, min(len(w), 8))}]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([i] * len(out), pa.int64()), pa.array([y] * len(out), pa.int32()), pa.array(out, pa.string())], names=["doc_id", "toxic", "word"])
@@ -322,7 +322,7 @@ def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             letters, first, last = runs_of(t or "")
-            out = [f"^{w}$" for w in {letters[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)} - words_of(t or "")]
+            out = [f"^{w}$" for w in {letters[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)} - words_of(t or "") if len(w) > 2]
             yield pa.RecordBatch.from_arrays([pa.array([i] * len(out), pa.int64()), pa.array(out, pa.string())], names=["doc_id", "word"])
 
 
