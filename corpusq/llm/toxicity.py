@@ -26,7 +26,6 @@ added in each of ROUNDS rounds, LANDMARKS landmarks.
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -47,16 +46,20 @@ ROUNDS = 2
 #: Letters of a run of words at most, with marks at its ends a window; and the margin from which it counts.
 RUN, RUN_FROM = SPAN - 2, -0.5
 #: Triples that span up to EXACT characters are summed in a run's bound, up to NEAR bounded by their ends.
-EXACT, NEAR = 4, 8
+EXACT, NEAR = 6, 8
+#: Texts and their characters that one call scores together, at most (a longer text has a call of its own).
+BLOCK, BLOCK_CHARS = 64, 1 << 17
+#: Pieces of texts whose runs are bounded at once.
+SLICE = 8192
 #: Worst windows of a document that make its score.
 TOP = 3
 SEED = 17
 
 _SPACED = re.compile(r"(?<!\w)\w(?:[\W_]{1,3}\w){2,}(?!\w)")
 _WORD = re.compile(r"\w+")
-_PIECE = re.compile(r"[^\W_]+")
 _I, _J, _K = (np.array(x) for x in zip(*[(i, j, k) for i in range(SPAN) for j in range(i + 1, SPAN) for k in range(j + 1, SPAN)], strict=True))
 _WEIGHT = DECAY ** (_K - _I + 1.0)
+_WITHIN = [np.flatnonzero(_K < width) for width in range(SPAN + 1)]
 
 
 def windows(word: str) -> list[str]:
@@ -67,66 +70,80 @@ def windows(word: str) -> list[str]:
     return [word[i : i + SPAN] for i in range(0, len(word) - SPAN // 2, SPAN // 2)]
 
 
-def words_of(text: str) -> set[str]:
-    """Distinct lower-case words, with letters that stand apart joined as well."""
+def words_in(text: str) -> tuple[set[str], list[str]]:
+    """Distinct lower-case words, with letters that stand apart joined as well; and all letters and digits between other characters, in order."""
     text = text.lower()
-    found = set(_WORD.findall(text))
+    words = _WORD.findall(text)
+    found = set(words)
     if _SPACED.search(text):
         found.update(re.sub(r"[\W_]+", "", m.group()) for m in _SPACED.finditer(text))
-    return found
+    return found, [p for w in words for p in w.split("_") if p] if "_" in text else words
+
+
+def words_of(text: str) -> set[str]:
+    return words_in(text)[0]
 
 
 def coded(strings: list[str]) -> np.ndarray:
     """Character codes, 0 where a string has ended."""
+    cut = [s[:SPAN] for s in strings]
     out = np.zeros((len(strings), SPAN), dtype=np.int64)
-    for row, s in enumerate(strings):
-        for at, c in enumerate(s[:SPAN]):
-            o = ord(c)
-            out[row, at] = o - 96 if 97 <= o <= 122 else 27 + (o * 2654435761 >> 8) % (CODES - 27)
+    out[np.arange(SPAN) < np.array([len(s) for s in cut], dtype=np.int64)[:, None]] = letter_codes("".join(cut))
     return out
 
 
 def letter_codes(letters: str) -> np.ndarray:
-    """The codes of `coded` for every letter of one string."""
+    """The code of every letter of one string."""
     o = np.frombuffer(letters.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
     return np.where((o >= 97) & (o <= 122), o - 96, 27 + (o * 2654435761 >> 8) % (CODES - 27))
 
 
-def runs_of(text: str) -> tuple[str, np.ndarray, np.ndarray]:
-    """All letters and digits of a text in lower case, and starts and ends in them of every run of two or more pieces."""
-    pieces = _PIECE.findall(text.lower())
-    ends = np.cumsum(np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)))
-    starts = np.concatenate([[0], ends[:-1]])[: len(ends)]
-    first, last = [ends[:0]], [ends[:0]]
-    for more in range(1, RUN):
-        a, b = starts[:-more], ends[more:]
-        short = b - a <= RUN
-        if not short.any():
-            break
-        first.append(a[short])
-        last.append(b[short])
-    return "".join(pieces), np.concatenate(first), np.concatenate(last)
+def runs_of(texts: list[list[str]]) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of the letters of texts, given as pieces, with starts and ends in them of every run of two or more pieces, and its text's place."""
+    pieces = [p for t in texts for p in t]
+    owners = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    for at in range(0, len(pieces), SLICE):
+        some, owner = pieces[at : at + SLICE + RUN], owners[at : at + SLICE + RUN]
+        ends = np.cumsum(np.fromiter(map(len, some), dtype=np.int64, count=len(some)))
+        starts = np.concatenate([[0], ends[:-1]])
+        first, last, of = [ends[:0]], [ends[:0]], [owner[:0]]
+        for more in range(1, min(RUN, len(some))):
+            to = min(SLICE, len(some) - more)
+            a, b = starts[:to], ends[more : more + to]
+            short = (b - a <= RUN) & (owner[:to] == owner[more : more + to])
+            if not short.any():
+                break
+            first.append(a[short])
+            last.append(b[short])
+            of.append(owner[:to][short])
+        yield "".join(some), np.concatenate(first), np.concatenate(last), np.concatenate(of)
 
 
 def norms(codes: np.ndarray) -> np.ndarray:
-    """Square root of each string's kernel with itself."""
-    same = ((codes[:, :, None] == codes[:, None, :]) & (codes[:, :, None] > 0)).astype(np.float64) * DECAY**2
+    """Square root of each string's kernel with itself; codes may be cut to the longest string."""
+    by_place = np.ascontiguousarray(codes.T)
+    width = len(by_place)
+    same = ((by_place[:, None] == by_place) & (by_place[:, None] > 0)).astype(np.float64) * DECAY**2
     t = same
     for _ in range(2):
-        below = np.zeros_like(t)
-        for i in range(1, SPAN):
-            below[:, i] = DECAY * (below[:, i - 1] + t[:, i - 1])
-        ahead = np.zeros_like(t)
-        for j in range(1, SPAN):
-            ahead[:, :, j] = DECAY * (ahead[:, :, j - 1] + below[:, :, j - 1])
+        below, ahead = np.zeros_like(t), np.zeros_like(t)
+        for i in range(1, width):
+            below[i] = DECAY * (below[i - 1] + t[i - 1])
+        for j in range(1, width):
+            ahead[:, j] = DECAY * (ahead[:, j - 1] + below[:, j - 1])
         t = same / DECAY**2 * ahead
-    return np.sqrt(t.sum(axis=(1, 2)))
+    return np.sqrt(t.sum(axis=(0, 1)))
+
+
+def indexes(codes: np.ndarray) -> np.ndarray:
+    """Index of every triple of the given places."""
+    within = _WITHIN[codes.shape[1]]
+    return (codes[:, _I[within]] * CODES + codes[:, _J[within]]) * CODES + codes[:, _K[within]]
 
 
 def triples(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index and weight of every triple; weight 0 beyond a string's end."""
-    index = (codes[:, _I] * CODES + codes[:, _J]) * CODES + codes[:, _K]
-    return index, np.where(codes[:, _K] > 0, _WEIGHT, 0.0)
+    return indexes(codes), np.where(codes[:, _K] > 0, _WEIGHT, 0.0)
 
 
 def features(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,11 +152,16 @@ def features(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def applied(table: np.ndarray, strings: list[str]) -> np.ndarray:
-    """Normalised products of strings with a table of triple weights."""
-    out = np.zeros(len(strings))
-    for at in range(0, len(strings), 512):
-        index, weight, norm = features(strings[at : at + 512])
-        out[at : at + 512] = (table[index] * weight).sum(axis=1) / np.where(norm > 0, norm, 1)
+    """Normalised products of strings with a table of triple weights; strings of one length share a call."""
+    out, codes = np.zeros(len(strings)), coded(strings)
+    sizes = (codes > 0).sum(axis=1)
+    for size in np.unique(sizes):
+        rows = np.flatnonzero(sizes == size)
+        for at in range(0, len(rows), 512):
+            some = codes[rows[at : at + 512], :size]
+            norm = norms(some)
+            products = np.einsum("ij,j->i", table.take(indexes(some)), _WEIGHT[_WITHIN[size]])
+            out[rows[at : at + 512]] = products / np.where(norm > 0, norm, 1)
     return out
 
 
@@ -163,57 +185,74 @@ class Machine:
         """Weights of triples with ends i and k, summed over the middles; bounded if they are too far apart."""
         if len(middle) < EXACT:
             ends = i * (CODES * CODES) + k
-            return sum(self.table[ends + j * CODES] for j in middle) * DECAY ** (len(middle) + 2)
-        return self.ends[i * CODES + k] * (len(middle) * DECAY ** (len(middle) + 2))
+            total = self.table.take(ends + middle[0] * CODES)
+            for j in middle[1:]:
+                total += self.table.take(ends + j * CODES)
+            return total * DECAY ** (len(middle) + 2)
+        return self.ends.take(i * CODES + k) * (len(middle) * DECAY ** (len(middle) + 2))
 
     def bounds(self, codes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Upper bounds of the kernel sums of runs, marks included."""
         size, n = last - first, len(codes)
         out = self.far[size].copy()
         padded = np.concatenate([np.zeros(NEAR, dtype=np.int64), codes, np.zeros(NEAR, dtype=np.int64)])
-        begins, begin_of = np.unique(first, return_inverse=True)
-        stops, stop_of = np.unique(last, return_inverse=True)
+        marked = np.zeros((2, n + 1), dtype=bool)
+        marked[0, first], marked[1, last] = True, True
+        begins, stops = np.flatnonzero(marked[0]), np.flatnonzero(marked[1])
+        opened, closed = np.zeros((2, n + 1), dtype=np.float32)
         for d in range(2, NEAR + 1):
             if n > d:
                 total = np.zeros(n + 1)
-                total[d + 1 :] = np.cumsum(self._between(codes[: n - d], [codes[j : n - d + j] for j in range(1, d)], codes[d:]), dtype=np.float64)
+                np.cumsum(self._between(codes[: n - d], [codes[j : n - d + j] for j in range(1, d)], codes[d:]), dtype=np.float64, out=total[d + 1 :])
                 out += total[last] - total[np.minimum(first + d, last)]
             at, to = begins + NEAR - 1, stops + NEAR
-            opened = self._between(self.open, [padded[at + j] for j in range(1, d)], padded[at + d])
-            closed = self._between(padded[to - d], [padded[to - d + j] for j in range(1, d)], self.close)
-            out += np.where(size >= d, opened[begin_of] + closed[stop_of], 0)
+            opened[begins] = self._between(self.open, [padded[at + j] for j in range(1, d)], padded[at + d])
+            closed[stops] = self._between(padded[to - d], [padded[to - d + j] for j in range(1, d)], self.close)
+            out += np.where(size >= d, opened[first] + closed[last], 0)
         return out + 1e-4
 
-    def runs(self, text: str) -> set[str]:
-        """Distinct runs of a text whose margin may reach RUN_FROM."""
-        letters, first, last = runs_of(text)
-        if not len(first):
-            return set()
-        able = self.bounds(letter_codes(letters), first, last) >= (RUN_FROM - self.bias) * self.least[last - first]
-        return {letters[a:b] for a, b in zip(first[able].tolist(), last[able].tolist(), strict=True)}
+    def runs(self, texts: list[list[str]]) -> list[set[str]]:
+        """For texts, given as pieces, the distinct runs whose margin may reach RUN_FROM."""
+        out: list[set[str]] = [set() for _ in texts]
+        for letters, first, last, owner in runs_of(texts):
+            reach = (RUN_FROM - self.bias) * self.least[last - first] if self.bias < RUN_FROM else -np.inf
+            able = np.flatnonzero(self.bounds(letter_codes(letters), first, last) >= reach)
+            for a, b, text in zip(first[able].tolist(), last[able].tolist(), owner[able].tolist(), strict=True):
+                out[text].add(letters[a:b])
+        return out
 
     def margins(self, words: list[str]) -> list[float]:
         parts = [windows(w) for w in words]
         flat = applied(self.table, [p for x in parts for p in x]) + self.bias
-        out, at = [], 0
-        for x in parts:
-            out.append(float(flat[at : at + len(x)].max()))
-            at += len(x)
-        return out
+        return np.maximum.reduceat(flat, np.cumsum([0, *map(len, parts[:-1])])).tolist() if words else []
 
-    def worst(self, text: str | None) -> tuple[list[float], str]:
-        """The three highest margins of a text's words and runs, and the worst of them; missing ones have the bias alone."""
-        own = words_of(text or "")
-        joined = self.runs(text or "") - own
-        words = [*own, *joined]
+    def _block(self, texts: list[str]) -> list[tuple[list[float], str]]:
+        own, pieces = zip(*map(words_in, texts), strict=True)
+        joined = [r - w for r, w in zip(self.runs(list(pieces)), own, strict=True)]
         if len(self.seen) > 400_000:
             self.seen.clear()
-        new = [w for w in words if w not in self.seen]
+        new = [w for w in set().union(*own, *joined) if w not in self.seen]
         if new:
             self.seen.update(zip(new, self.margins(new), strict=True))
-        words = [*own, *(w for w in joined if self.seen[w] >= RUN_FROM)]
-        top = heapq.nlargest(TOP, zip(map(self.seen.__getitem__, words), words, strict=True))
-        return [m for m, _ in top] + [self.bias] * (TOP - len(top)), top[0][1] if top else ""
+        out = []
+        for words, runs in zip(own, joined, strict=True):
+            counted = [*words, *(w for w in runs if self.seen[w] >= RUN_FROM)]
+            found = list(map(self.seen.__getitem__, counted))
+            top = sorted(found, reverse=True)[:TOP]
+            word = max((w for w, m in zip(counted, found, strict=True) if m == top[0]), default="")
+            out.append((top + [self.bias] * (TOP - len(top)), word))
+        return out
+
+    def worst(self, texts: list[str | None]) -> list[tuple[list[float], str]]:
+        """For each text the three highest margins of its words and runs, and the worst of them; missing ones have the bias alone."""
+        out, block, chars = [], [], 0
+        for text in texts:
+            if block and (len(block) == BLOCK or chars + len(text or "") > BLOCK_CHARS):
+                out += self._block(block)
+                block, chars = [], 0
+            block.append(text or "")
+            chars += len(text or "")
+        return out + self._block(block) if block else out
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> np.ndarray:
@@ -291,7 +330,7 @@ def explaining(rows: list[tuple[str, list[int], int]], n_toxic: int, n_clean: in
 def _worst(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     machine = Machine(*shared.value)
     for batch in batches:
-        found = [machine.worst(t) for t in batch.column("text").to_pylist()]
+        found = machine.worst(batch.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id").cast(pa.int64()), pa.array([m for m, _ in found], pa.list_(pa.float64())), pa.array([w for _, w in found], pa.string())],
             names=["doc_id", "margins", "word"])
@@ -321,8 +360,9 @@ def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each document's distinct marked runs that aren't among its words."""
     for batch in batches:
         for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            letters, first, last = runs_of(t or "")
-            out = [f"^{w}$" for w in {letters[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)} - words_of(t or "") if len(w) > 2]
+            words, pieces = words_in(t or "")
+            runs = {letters[a:b] for letters, first, last, _ in runs_of([pieces]) for a, b in zip(first.tolist(), last.tolist(), strict=True)}
+            out = [f"^{w}$" for w in runs - words if len(w) > 2]
             yield pa.RecordBatch.from_arrays([pa.array([i] * len(out), pa.int64()), pa.array(out, pa.string())], names=["doc_id", "word"])
 
 
@@ -407,7 +447,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 def _marked(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     machine = Machine(*shared.value)
     for batch in batches:
-        found = [machine.worst(t)[0] for t in batch.column("text").cast(pa.string()).to_pylist()]
+        found = [m for m, _ in machine.worst(batch.column("text").cast(pa.string()).to_pylist())]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.float64()))], names=[*batch.schema.names, "margins"])
 
 

@@ -23,7 +23,7 @@ def plain(spark, data):
     machine = toxicity.fit(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
     rows = []
     for r in docs.collect():
-        margins = np.clip(machine.worst(r.text)[0], -3, 3)
+        margins = np.clip(machine.worst([r.text])[0][0], -3, 3)
         if 1 / (1 + np.exp(-(float(margins @ np.array(machine.scale[:-1])) + machine.scale[-1]))) < 0.5:
             rows.append(r)
     sets = {r.doc_id: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := words(r.text)) else set() for r in rows}
