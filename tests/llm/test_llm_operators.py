@@ -638,3 +638,14 @@ def test_repeated_rows_and_null_ids(spark):
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs(spark, rows), 2).collect()), key=str)
     assert got == sorted([(1, 1, True), (1, 1, True), (None, None, True), (2, 1, False)], key=str)
     assert sharding.shard(docs(spark, rows)).count() == 4 and mixing.mixed(docs(spark, rows)).count() == 4
+
+
+def test_near_duplicates_with_texts_that_share_an_id(spark):
+    """Every row is compared by its own text, whatever others have its doc_id."""
+    one, two, three = ("a b c d e f g h i j", "a b c d e f g h i x", "k l m n o p"), ("q r s t u v w x y z",), ("", None)
+    rows = [(5, one[0], "s"), (5, two[0], "s"), (7, one[1], "s"), (7, one[2], "s"), (9, two[0].upper(), "s"), (9, one[2], "s"), (9, three[0], "s"), (9, three[1], "s")]
+    found = minhash.near_duplicates(docs(spark, rows), 2)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found.collect())
+    assert got == sorted([(5, 9, 5, True), (5, 9, 5, True), (7, 9, 5, False), (7, 5, 7, True), (9, 9, 5, False), (9, 5, 7, False), (9, 0, 9, True), (9, 0, 9, True)])
+    groups = [r.component for r in found.where("doc_id = 5").collect()]
+    assert len(set(groups)) == 2

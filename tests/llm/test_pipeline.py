@@ -84,5 +84,16 @@ def test_stages_keep_the_columns_of_documents(spark, data):
         assert docs.columns == columns
 
 
+def test_near_duplicates_of_repeated_ids(spark, data):
+    """Of each group one text stays, though its doc_id has other texts; blank texts and rows without doc_id stay."""
+    a, b = "a b c d e f g h i j", "k l m n o p q r s t"
+    rows = [(1, a), (1, a), (1, a.upper()), (1, b), (2, a), (2, b + " u"), (2, "v w x y z"), (3, ""), (3, ""), (3, " "), (3, None), (None, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, data)
+    assert got.columns == docs.columns
+    kept = sorted(((r.doc_id, (r.text or "-").lower()) for r in got.collect()), key=str)
+    assert kept == sorted([(1, a), (1, b), (2, "v w x y z"), (3, "-"), (3, " "), (3, "-"), (None, a), (None, a)], key=str)
+
+
 def test_ten_operators_are_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
