@@ -24,12 +24,12 @@ def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group; of rows equal in doc_id and text, one."""
-    found = minhash.near_duplicates(docs, k=5, percent=80)
-    gone = found.where("NOT kept").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").withColumn("_text", F.xxhash64("text"))
-    known = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "_text"])
-    return kept.where("doc_id IS NULL").unionByName(known).select(*docs.columns)
+    """One text of each group, that of the smallest doc_id; of rows equal in doc_id and text, one."""
+    found = minhash.near_duplicates(docs, k=5, percent=80).where("kept AND doc_id IS NOT NULL")
+    alone = F.when(F.col("component").isNull(), F.col("text_hash"))
+    kept = found.groupBy("doc_id", "component", alone.alias("alone")).agg(F.min("text_hash").alias("_text")).select("doc_id", "_text").distinct()
+    known = docs.withColumn("_text", F.xxhash64(F.col("text").cast("string"))).join(kept, ["doc_id", "_text"], "left_semi").dropDuplicates(["doc_id", "_text"])
+    return docs.where("doc_id IS NULL").unionByName(known.drop("_text")).select(*docs.columns)
 
 
 def pseudonymise(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
