@@ -46,7 +46,7 @@ def dedup_sentences(s, d):
 
 
 def set_union_splits(s, d):
-    a, b = _docs(s, d).where("doc_id % 3 = 0").select("source", "lang"), _docs(s, d).where("doc_id % 5 = 0").select("source", "lang")
+    a, b = _docs(s, d).where(F.col("source").isin("src1", "src2")).select("source", "lang"), _docs(s, d).where("lang = 'en'").select("source", "lang")
     return a.union(b).distinct()
 
 
@@ -427,7 +427,7 @@ ORACLE_SQL = {
     "dedup_hash_per_split": f"WITH {_LINES} SELECT source, count(DISTINCT trim(line, ' ')) AS n FROM lines GROUP BY source",
     "agg_dup_count": "SELECT count(*) AS rows, count(DISTINCT text) AS distinct_rows, count(*) - count(DISTINCT text) AS dropped FROM documents",
     "dedup_sentences": "SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY role, text ORDER BY conv_id, turn) AS n FROM conversations) WHERE n = 1",
-    "set_union_splits": "SELECT source, lang FROM documents WHERE doc_id % 3 = 0 UNION SELECT source, lang FROM documents WHERE doc_id % 5 = 0",
+    "set_union_splits": "SELECT source, lang FROM documents WHERE source IN ('src1', 'src2') UNION SELECT source, lang FROM documents WHERE lang = 'en'",
     "set_leak_disjoint": f"WITH {_LINES} SELECT DISTINCT doc_id FROM lines WHERE length(line) > 20 AND source NOT IN ('src1', 'src2') AND trim(line, ' ') IN (SELECT trim(line, ' ') FROM lines WHERE length(line) > 20 AND source IN ('src1', 'src2'))",
     "split_random": "SELECT doc_id, CASE WHEN i <= floor(0.8 * n) THEN 'train' WHEN i <= floor(0.8 * n) + floor(0.1 * n) THEN 'val' ELSE 'test' END AS split FROM (SELECT doc_id, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS i, count(*) OVER () AS n FROM documents)",
     "split_predefined": f"WITH {_LINES}, f AS (SELECT doc_id, CASE WHEN source IN ('src1', 'src2') THEN 'test' WHEN source IN ('src3', 'src4', 'src5') THEN 'val' ELSE 'train' END AS split FROM documents), l AS (SELECT doc_id, line, split FROM lines JOIN f USING (doc_id)), vb AS (SELECT DISTINCT doc_id FROM l WHERE split = 'val' AND line IN (SELECT line FROM l WHERE split = 'test')), tb AS (SELECT DISTINCT doc_id FROM l WHERE split = 'train' AND line IN (SELECT line FROM l WHERE split = 'test' OR (split = 'val' AND doc_id NOT IN (SELECT doc_id FROM vb)))) SELECT doc_id AS file, split FROM f WHERE doc_id NOT IN (SELECT doc_id FROM vb) AND doc_id NOT IN (SELECT doc_id FROM tb)",
