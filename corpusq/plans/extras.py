@@ -113,7 +113,7 @@ def build_dpo(s, d):
 
 def flt_positive(s, d):
     p = _part(s, d)
-    pos = p.where("p_retailprice > 1200").select("p_partkey", "p_brand", "p_size")
+    pos = p.where("p_type IN ('PROMO', 'LARGE')").select("p_partkey", "p_brand", "p_size")
     avail = p.where("p_size <= 30").select("p_partkey", F.lit(True).alias("available"))
     x = pos.join(avail, "p_partkey", "left")
     why = F.when(F.col("p_brand").endswith("5"), "filtered").when(F.col("available").isNull(), "unavailable").otherwise("kept")
@@ -122,7 +122,7 @@ def flt_positive(s, d):
 
 def join_pos_avail(s, d):
     p = _part(s, d)
-    return p.where("p_retailprice > 1200").join(p.where("p_size <= 30").select("p_partkey"), "p_partkey", "left_semi").select("p_partkey")
+    return p.where("p_type IN ('PROMO', 'LARGE')").join(p.where("p_size <= 30").select("p_partkey"), "p_partkey", "left_semi").select("p_partkey")
 
 
 def flt_success_attempts(s, d):
@@ -350,8 +350,8 @@ ORACLE_SQL = {
     "build_lm_example": "SELECT conv_id, turn, md5(coalesce(string_agg(text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '')) AS script, md5(text) AS target, count(*) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS n_next FROM conversations",
     "build_lemma_example": "SELECT a.p_partkey AS target, count(*) AS candidates, min(b.p_partkey) AS first FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_name <> b.p_name GROUP BY 1",
     "build_dpo": "SELECT a.p_brand, a.p_partkey AS chosen, b.p_partkey AS rejected FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size > 40 AND b.p_size < 5",
-    "flt_positive": "SELECT p_partkey, CASE WHEN p_brand LIKE '%5' THEN 'filtered' WHEN p_size > 30 THEN 'unavailable' ELSE 'kept' END AS why FROM part WHERE p_retailprice > 1200",
-    "join_pos_avail": "SELECT p_partkey FROM part WHERE p_retailprice > 1200 AND p_size <= 30",
+    "flt_positive": "SELECT p_partkey, CASE WHEN p_brand LIKE '%5' THEN 'filtered' WHEN p_size > 30 THEN 'unavailable' ELSE 'kept' END AS why FROM part WHERE p_type IN ('PROMO', 'LARGE')",
+    "join_pos_avail": "SELECT p_partkey FROM part WHERE p_type IN ('PROMO', 'LARGE') AND p_size <= 30",
     "flt_success_attempts": "SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_quantity > 25 GROUP BY 1",
     "prj_flatten_eval": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem",
     "join_thm_to_proof": "SELECT l_orderkey, l_linenumber, l_partkey, was IS NULL OR was < l_linenumber AS rising FROM (SELECT *, lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS was FROM lineitem) JOIN orders ON o_orderkey = l_orderkey",
