@@ -84,9 +84,9 @@ def win_potential_shaping(s, d):
 
 
 def join_potential(s, d):
-    x = steps(s, d)
-    gold = x.where("success").select("state").distinct().withColumn("phi", F.lit(1.0))
-    y = x.join(gold, "state", "left").withColumn("phi", F.coalesce("phi", F.lit(0.0)))
+    x = steps(s, d).withColumn("exact", F.concat("act", F.lit("/"), F.col("v").cast("string")))
+    gold = x.where("success").select("exact").distinct().withColumn("phi", F.lit(1.0))
+    y = x.join(gold, "exact", "left").withColumn("phi", F.coalesce("phi", F.lit(0.0)))
     return y.select("event_id", _r(tr.potential_shaping("phi", "user_id", 1.0), "shaped"))
 
 
@@ -321,7 +321,7 @@ ORACLE_SQL = {
     "agg_state_value": _with("SELECT state, attempts, round(value, 6) AS value FROM vals", VALUES),
     "win_process_reward_next": _with(f"SELECT event_id, round(coalesce(lead(value) {W}, CAST(success AS INT)), 6) AS reward FROM steps JOIN vals USING (state)", VALUES),
     "win_potential_shaping": _with(f"SELECT event_id, round(0.9 * CASE WHEN kind IN ('COMPLETE', 'INVALID') THEN 0 ELSE coalesce(lead(v / 100) {W}, 0) END - v / 100, 6) AS shaped FROM steps"),
-    "join_potential": _with(f"SELECT event_id, round(coalesce(lead(phi) {W}, 0) - phi, 6) AS shaped FROM (SELECT *, CASE WHEN state IN (SELECT state FROM steps WHERE success) THEN 1.0 ELSE 0.0 END AS phi FROM steps)"),
+    "join_potential": _with(f"SELECT event_id, round(coalesce(lead(phi) {W}, 0) - phi, 6) AS shaped FROM (SELECT *, CASE WHEN (act || '/' || v) IN (SELECT act || '/' || v FROM steps WHERE success) THEN 1.0 ELSE 0.0 END AS phi FROM steps)"),
     "win_first_error_propagate": _with(f"SELECT event_id, bool_or(kind = 'INVALID') {UP} AS bad, CAST(CASE WHEN kind = 'INVALID' THEN -0.1 WHEN success THEN 1.0 ELSE -0.05 END AS DOUBLE) AS reward FROM steps"),
     "traj_alignment_flag": _with(f"SELECT event_id, bool_and(kind = 'VALID') {UP} AS on_path FROM steps"),
     "win_carry_forward": _with(f"SELECT event_id, coalesce(last_value(nullif(goals, 0) IGNORE NULLS) {UP}, 1) AS goals FROM steps"),
