@@ -182,9 +182,9 @@ def math_kl(s, d):
 
 
 def q_lookup(s, d):
-    docs = table(s, d, "documents").select(F.col("doc_id").alias("doc"), "source", (F.col("lang") == "en").alias("std"), F.element_at(words(F.col("text")), 1).alias("name"))
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("doc"), "source", (F.col("lang") == "en").alias("std"), F.regexp_extract(F.lower("text"), "[a-z]+", 0).alias("name"))
     q = items(s, d).select("query", "source", F.slice(words(F.col("text")), 1, 15).alias("goal"), words(F.col("text")).alias("hyps"))
-    x = rt.lookup(docs.where("name IS NOT NULL").join(q, "source"), "goal", "hyps", "name", "std")
+    x = rt.lookup(docs.where("name <> ''").join(q, "source"), "goal", "hyps", "name", "std")
     return x.select("query", "doc", F.col("score").cast("double").alias("score"))
 
 
